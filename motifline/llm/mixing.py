@@ -103,3 +103,20 @@ def sample(spark: SparkSession, docs: DataFrame, weights: tuple = (1, 2, 3), cap
 def repeat(mixed: DataFrame, columns: list[str]) -> DataFrame:
     """Each document as many times as it is taken."""
     return mixed.where("copies > 0").withColumn("_mix_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*columns)
+
+
+def sql(weights: tuple = (1, 2, 3), cap: float = 3.0, seed: str = "mix") -> str:
+    """The mix of ``documents`` for DuckDB: every source ranked as a whole."""
+    return rf"""WITH sized AS (SELECT row_number() OVER () AS row, doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents),
+sums AS (SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source),
+weighed AS (SELECT source, source_size, ({list(weights)}::DOUBLE[])[((row_number() OVER (ORDER BY source NULLS LAST) - 1) % {len(weights)} + 1)::INT] AS weight, source_size * {cap}::DOUBLE AS cap FROM sums),
+levels AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(cap) OVER below, 0::DOUBLE)) / (sum(weight) OVER () - coalesce(sum(weight) OVER below, 0::DOUBLE)) AS level
+  FROM weighed WINDOW below AS (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+goal AS (SELECT source, source_size, least(cap, coalesce(max(level) FILTER (level * weight <= cap) OVER () * weight, cap)) AS target FROM levels),
+parts AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS whole FROM goal),
+odds AS (SELECT *, target - whole * source_size AS words, CASE WHEN source_size > 0 THEN (target - whole * source_size) / source_size ELSE 0::DOUBLE END AS p FROM parts),
+drawn AS (SELECT row, doc_id, size, source_size, target, whole, words, p, (('0x' || substr(md5('{seed}:' || coalesce(doc_id::VARCHAR, 'null')), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496::DOUBLE AS u, sized.source
+  FROM sized JOIN odds ON sized.source IS NOT DISTINCT FROM odds.source),
+ranked AS (SELECT *, u / (1 - u) / (p / (1 - p)) AS q FROM drawn WHERE p > 0 AND size > 0),
+taken AS (SELECT row, (words - coalesce(sum(size) OVER (PARTITION BY source ORDER BY q / (1 + q), coalesce(doc_id, -9223372036854775808), size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) * 2 > size AS yes FROM ranked)
+SELECT doc_id, size, source_size, target, (whole + coalesce(yes, false)::BIGINT) * size AS taken, whole + coalesce(yes, false)::BIGINT AS copies FROM drawn LEFT JOIN taken USING (row)"""

@@ -5,21 +5,47 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from motifline.llm import mixing, packing
+from motifline.llm import media, mixing, packing, quality, secret_scan, url_filter
+from motifline.llm.common import Scratch
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(spark, spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(spark, documents(spark, sf_dir).select("doc_id", "text", "lang"))
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(spark, documents(spark, sf_dir).select("doc_id", "text"))
 
 
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A scan with a new ledger, so every blob is unseen."""
+    paths, findings = secret_scan.scan(spark, documents(spark, sf_dir).select("doc_id", "text"), f"{Scratch(spark, 'ledger').root}/ledger")
+    none = F.array().cast(secret_scan.SPANS)
+    out = paths.join(findings, "blob", "left").select(F.col("_key").alias("doc_id"), "blob", F.coalesce("spans", none).alias("spans"))
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+    base = F.filter("spans", lambda s: s["kind"].isin([r.kind for r in secret_scan.BASE]))
+    return out.select(
+        "doc_id", count("assign").alias("n_assign"), count("access").alias("n_access"), count("hex").alias("n_hex"),
+        F.sha2(secret_scan.joined(base).cast("binary"), 256).alias("base_sha256"), secret_scan.joined(F.col("spans")).alias("spans"), "blob",
+    )
+
+
 def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.sample(spark, documents(spark, sf_dir).select("doc_id", "text", "source"))
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
 
 
-QUERIES = {f.__name__: f for f in (op5_best_fit_packing, op8_mix_sources)}
-SQL: dict[str, str] = {}
+def op10_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.digest(documents(spark, sf_dir).select("doc_id", "text"))
+
+
+QUERIES = {f.__name__: f for f in (op2_url_filter, op4_quality_rules, op5_best_fit_packing, op6_secret_scan, op8_mix_sources, op10_gif_media)}
+SQL: dict[str, str] = {"op2_url_filter": url_filter.sql(), "op6_secret_scan": secret_scan.sql(), "op8_mix_sources": mixing.sql()}
