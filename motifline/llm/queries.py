@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from motifline.llm import media, mixing, packing, quality, secret_scan, url_filter
+from motifline.llm import media, mixing, near_dup, packing, quality, secret_scan, url_filter
 from motifline.llm.common import Scratch
 
 
@@ -43,9 +43,13 @@ def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
 
 
+def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.classes(spark, documents(spark, sf_dir).select("doc_id", "text"))
+
+
 def op10_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.digest(documents(spark, sf_dir).select("doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op2_url_filter, op4_quality_rules, op5_best_fit_packing, op6_secret_scan, op8_mix_sources, op10_gif_media)}
+QUERIES = {f.__name__: f for f in (op2_url_filter, op4_quality_rules, op5_best_fit_packing, op6_secret_scan, op8_mix_sources, op9_near_duplicates, op10_gif_media)}
 SQL: dict[str, str] = {"op2_url_filter": url_filter.sql(), "op6_secret_scan": secret_scan.sql(), "op8_mix_sources": mixing.sql()}
