@@ -4,10 +4,38 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from motifline.llm import mixing, near_dup, packing, quality, secret_scan
 from motifline.llm import queries as Q
 from motifline.llm.common import Scratch
 
-STAGES: list = []
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the base rules or their language's perplexity band reject go."""
+    return quality.keep(spark, docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near-duplicates stays."""
+    return near_dup.keep_one(spark, docs)
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets in the texts are masked; all documents stay."""
+    return secret_scan.redact(spark, docs, f"{Scratch(spark, 'ledger').root}/ledger")
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it."""
+    return mixing.repeat(mixing.sample(spark, docs.withColumn("_size", mixing.n_words()), size="_size"), docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of the documents with their places in sequences."""
+    return packing.pack(spark, docs.select("doc_id", "text"))
+
+
+STAGES = [("quality", quality_rules), ("near_duplicates", near_duplicates), ("secrets", secrets), ("mix", mix), ("pack", pack)]
+#: Perplexities, set joins and tokenizers are beyond SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 

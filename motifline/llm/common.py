@@ -62,8 +62,8 @@ def slices(batch: pa.RecordBatch, column: str = "text", most: int = 2_000_000):
         return
     text = batch.column(batch.schema.get_field_index(column))
     if text.null_count:
-        text = text.fill_null("")
-    text = text.cast(pa.large_binary())
+        text = text.fill_null(b"" if pa.types.is_binary(text.type) or pa.types.is_large_binary(text.type) else "")
+    text = text.cast(pa.large_binary()) if text.type != pa.large_binary() else text
     offsets = np.frombuffer(text.buffers()[1], np.int64)[text.offset : text.offset + len(text) + 1]
     data = np.frombuffer(text.buffers()[2], np.uint8) if text.buffers()[2] is not None and text.buffers()[2].size else np.zeros(0, np.uint8)
     at, n = 0, batch.num_rows

@@ -369,3 +369,11 @@ def _with_sketch(rows: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array([raw[i : i + 32] for i in range(0, len(raw), 32)], pa.binary()), batch.column(4)], ["set", "group", "_n", "sketch", "text"])
 
     return rows.mapInArrow(add, "set binary, group binary, _n long, sketch binary, text string")
+
+
+def keep_one(spark: SparkSession, docs: DataFrame, **options) -> DataFrame:
+    """One row of each class, that of its least id, with all its columns. Rows without an id don't stay."""
+    firsts = classes(spark, docs.select("doc_id", "text"), **options).where("kept").select(F.col("doc_id").alias("_id")).distinct()
+    # different texts of one id all stay if one of them names a class
+    out = docs.join(firsts, docs["doc_id"].cast("long") == F.col("_id"), "left_semi")
+    return out.dropDuplicates(["doc_id", "text"])

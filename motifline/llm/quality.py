@@ -23,7 +23,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from motifline.llm.common import SPACE, Rolling, Scratch, mix64, slices, words
@@ -32,7 +32,7 @@ SYMBOLS = np.zeros(256, np.int64)
 SYMBOLS[list(b"#*$%&|<>")] = 1
 WINDOW = 5
 GRAMS = "gram long, n long"
-SCORES = "doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_bytes long, log_prob double"
+SCORES = "doc_id long, lang string, key long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_bytes long, log_prob double"
 
 
 def grams(data: np.ndarray, starts: np.ndarray, order: int) -> np.ndarray:
@@ -218,6 +218,11 @@ def base(data: np.ndarray, starts: np.ndarray):
     return n_words, chars, symbols, dup, repeat
 
 
+def key_of() -> Column:
+    """Tells rows with one id apart."""
+    return F.xxhash64(F.col("text").cast("string"), F.col("lang").cast("string"))
+
+
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """The base counts and the log probability of each text."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -230,9 +235,9 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 columns = [*base(data, starts), np.diff(starts), logs[starts[1:]] - logs[starts[:-1]]]
                 names = [f.split()[0] for f in SCORES.split(", ")]
                 kinds = [pa.int64()] * 6 + [pa.float64()]
-                yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), *(pa.array(np.asarray(c), t) for c, t in zip(columns, kinds))], names)
+                yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), own.column(2), *(pa.array(np.asarray(c), t) for c, t in zip(columns, kinds))], names)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).mapInArrow(rows, SCORES)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), key_of().alias("key"), F.col("text").cast("string").alias("text")).mapInArrow(rows, SCORES)
 
 
 def judge(spark: SparkSession, docs: DataFrame, order: int = 5, least: int = 2, most: int = 4_000_000, width: float = 4.0, floor: float = 0.05, short: float = 6.0, step: float = 0.005) -> DataFrame:
@@ -255,5 +260,11 @@ def judge(spark: SparkSession, docs: DataFrame, order: int = 5, least: int = 2,
     inside = F.coalesce((F.col("_bits") >= F.col("_low")) & (F.col("_bits") <= F.col("_high")), F.lit(True))
     return out.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & inside).alias("kept"),
-        "lang", F.exp("_bits").alias("perplexity"), F.exp("_low").alias("band_low"), F.exp("_high").alias("band_high"),
+        "key", "lang", F.exp("_bits").alias("perplexity"), F.exp("_low").alias("band_low"), F.exp("_high").alias("band_high"),
     )
+
+
+def keep(spark: SparkSession, docs: DataFrame, **options) -> DataFrame:
+    """The rows of ``docs`` that the rules keep, with all their columns."""
+    good = judge(spark, docs.select("doc_id", "text", "lang"), **options).where("kept").select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"))
+    return docs.join(good, docs["doc_id"].cast("long").eqNullSafe(F.col("_id")) & (key_of() == F.col("_key")), "left_semi")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from motifline.llm import media, mixing, near_dup, packing, quality, secret_scan, url_filter
+from motifline.llm import media, mixing, near_dup, packing, quality, secret_scan, suffix_dedup, url_filter
 from motifline.llm.common import Scratch
 
 
@@ -13,12 +13,16 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup(spark, documents(spark, sf_dir).select("doc_id", "text")).drop("kept")
+
+
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(spark, spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.judge(spark, documents(spark, sf_dir).select("doc_id", "text", "lang"))
+    return quality.judge(spark, documents(spark, sf_dir).select("doc_id", "text", "lang")).drop("key")
 
 
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,5 +55,5 @@ def op10_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.digest(documents(spark, sf_dir).select("doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op2_url_filter, op4_quality_rules, op5_best_fit_packing, op6_secret_scan, op8_mix_sources, op9_near_duplicates, op10_gif_media)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_url_filter, op4_quality_rules, op5_best_fit_packing, op6_secret_scan, op8_mix_sources, op9_near_duplicates, op10_gif_media)}
 SQL: dict[str, str] = {"op2_url_filter": url_filter.sql(), "op6_secret_scan": secret_scan.sql(), "op8_mix_sources": mixing.sql()}
