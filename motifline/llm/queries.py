@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from motifline.llm import media, mixing, near_dup, packing, quality, secret_scan, suffix_dedup, url_filter
+from motifline.llm import license_scan, media, mixing, near_dup, packing, quality, secret_scan, suffix_dedup, token_count, url_filter
 from motifline.llm.common import Scratch
+from motifline.llm.tokenizing import default_path
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,6 +22,10 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(spark, spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(spark, documents(spark, sf_dir).select("doc_id", "text"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(spark, documents(spark, sf_dir).select("doc_id", "text", "lang")).drop("key")
 
@@ -42,6 +47,12 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All texts are written to flat files first, which are then scanned."""
+    files = Scratch(spark, "tokens").put(token_count.write(documents(spark, sf_dir).select("doc_id", "text"), default_path()), "files")
+    return token_count.by_document(files)
+
+
 def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.sample(spark, documents(spark, sf_dir).select("doc_id", "text", "source"))
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
@@ -55,5 +66,5 @@ def op10_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.digest(documents(spark, sf_dir).select("doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_url_filter, op4_quality_rules, op5_best_fit_packing, op6_secret_scan, op8_mix_sources, op9_near_duplicates, op10_gif_media)}
-SQL: dict[str, str] = {"op2_url_filter": url_filter.sql(), "op6_secret_scan": secret_scan.sql(), "op8_mix_sources": mixing.sql()}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_url_filter, op3_license_scan, op4_quality_rules, op5_best_fit_packing, op6_secret_scan, op7_token_counts, op8_mix_sources, op9_near_duplicates, op10_gif_media)}
+SQL: dict[str, str] = {"op2_url_filter": url_filter.sql(), "op3_license_scan": license_scan.sql(), "op6_secret_scan": secret_scan.sql(), "op8_mix_sources": mixing.sql()}
