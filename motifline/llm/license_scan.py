@@ -72,10 +72,9 @@ def scan(spark: SparkSession, docs: DataFrame, texts=TEMPLATES, least: float = 0
     size = F.size("_h")
 
     def starts(c: int) -> Column:
-        return F.transform(F.sequence(F.lit(0), F.greatest(size - 1 - c, F.lit(0)), F.lit(c)), lambda at: F.struct(F.lit(c).alias("half"), at.alias("at")))
+        return F.transform(F.sequence(F.lit(0), F.greatest(size - 1 - c, F.lit(0)), F.lit(c)), lambda at: F.struct(F.lit(c).alias("half"), at.alias("at"), F.slice("_h", at + 1, 2 * c).alias("_s")))
 
-    windows = found.select("doc_id", "_h", F.explode(F.concat(*map(starts, halves))).alias("_w"))
-    windows = windows.select("doc_id", F.col("_w.half").alias("half"), F.col("_w.at").alias("at"), F.slice("_h", F.col("_w.at") + 1, 2 * F.col("_w.half")).alias("_s")).where(F.arrays_overlap("_s", marks))
+    windows = found.select("doc_id", F.explode(F.concat(*map(starts, halves))).alias("_w")).select("doc_id", "_w.*").where(F.arrays_overlap("_s", marks))
     banded = windows.select("doc_id", "half", "at", "_s", F.posexplode(_minima(F.col("_s"), bands)).alias("band", "value"))
     hits = banded.join(F.broadcast(known), ["half", "band", "value"])  # MOST * bands rows at most
     shared = F.size(F.array_intersect("_s", "own"))

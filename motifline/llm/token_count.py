@@ -95,7 +95,7 @@ def _prefix(found: DataFrame, span: int) -> DataFrame:
     inside = Window.partitionBy("file", "_run").orderBy("block")
     before = inside.rowsBetween(Window.unboundedPreceding, -1)
     local = found.withColumn("_n", F.coalesce(F.sum("n").over(before), F.lit(0))).withColumn("_ends", F.coalesce(F.sum("ends").over(before), F.lit(0)))
-    local = local.withColumn("_last", F.when(F.col("ends") > 0, F.col("_n") + F.element_at("at", -1) + 1)).withColumn("_upto", F.max("_last").over(before))
+    local = local.withColumn("_last", F.when(F.col("ends") > 0, F.col("_n") + F.try_element_at("at", F.lit(-1)) + 1)).withColumn("_upto", F.max("_last").over(before))
     runs = local.groupBy("file", "_run").agg(F.sum("n").alias("rn"), F.sum("ends").alias("re"), F.max("_last").alias("rl"))
     earlier = Window.partitionBy("file").orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)
     runs = runs.withColumn("pn", F.coalesce(F.sum("rn").over(earlier), F.lit(0))).withColumn("pe", F.coalesce(F.sum("re").over(earlier), F.lit(0)))
@@ -111,7 +111,7 @@ def scan(blocks: DataFrame, end: int = END, width: str = WIDTH, span: int = 1024
     begins = F.concat(F.array("open_from"), F.transform(ends, lambda x: x + 1))
     each = placed.where(F.size("at") > 0).select("file", "ends_before", F.posexplode(F.arrays_zip(F.slice(begins, 1, F.size("at")).alias("a"), ends.alias("b"))).alias("_k", "_p"))
     done = each.select("file", (F.col("ends_before") + F.col("_k")).alias("ordinal"), F.col("_p.a").alias("start"), (F.col("_p.b") - F.col("_p.a")).alias("n_tokens"), F.lit(True).alias("ended"))
-    files = placed.groupBy("file").agg(F.max(F.col("tokens_before") + F.col("n")).alias("all"), F.max(F.col("ends_before") + F.size("at")).alias("ordinal"), F.max(F.coalesce(F.col("tokens_before") + F.element_at("at", -1) + 1, F.col("open_from"))).alias("start"))
+    files = placed.groupBy("file").agg(F.max(F.col("tokens_before") + F.col("n")).alias("all"), F.max(F.col("ends_before") + F.size("at")).alias("ordinal"), F.max(F.coalesce(F.col("tokens_before") + F.try_element_at("at", F.lit(-1)) + 1, F.col("open_from"))).alias("start"))
     rest = files.where("all > start").select("file", "ordinal", "start", (F.col("all") - F.col("start")).alias("n_tokens"), F.lit(False).alias("ended"))
     return done.unionByName(rest)
 
