@@ -18,6 +18,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from motifline.llm.common import Scratch
+
 MOST = 1000
 WORD = r"([a-z0-9]+(?:[.-][a-z0-9]+)*)"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -69,6 +71,7 @@ def scan(spark: SparkSession, docs: DataFrame, texts=TEMPLATES, least: float = 0
     every = sorted({h for r in rows for h in r["own"]})
     marks = F.array(*[F.lit(h) for h in every])  # holds every template's minima
     found = docs.select(F.col("doc_id").alias("doc_id"), shingle_texts(F.col("text").cast("string")).alias("_h")).where(F.arrays_overlap("_h", marks))
+    found = Scratch(spark, "licenses").put(found, "found")  # else the optimizer would compute the shingles anew inside the lambdas
     size = F.size("_h")
 
     def starts(c: int) -> Column:
@@ -94,8 +97,8 @@ def sql(texts=TEMPLATES, least: float = 0.8) -> str:
     return f"""WITH t AS (SELECT license, list_distinct({shingle}) AS own FROM (SELECT license, {words} AS w FROM (VALUES {rows}) v(license, text))),
 templates AS MATERIALIZED (SELECT license, own, greatest(4, pow(2, ceil(log2(len(own))))::INT) AS half FROM t WHERE len(own) > 0),
 docs AS MATERIALIZED (SELECT doc_id, {shingle} AS h FROM (SELECT doc_id, {words} AS w FROM documents)),
-starts AS (SELECT doc_id, h, half, unnest(range(0, greatest(len(h) - 1 - half, 0) + 1, half)) AS pos FROM docs, (SELECT DISTINCT half FROM templates) WHERE len(h) > 0),
-windows AS MATERIALIZED (SELECT doc_id, half, pos, h[pos + 1:pos + 2 * half] AS s FROM starts),
+windows AS MATERIALIZED (SELECT doc_id, half, unnest(p) AS pos, unnest(list_transform(p, lambda x: h[x + 1:x + 2 * half])) AS s
+  FROM (SELECT doc_id, h, half, range(0, greatest(len(h) - 1 - half, 0) + 1, half) AS p FROM docs, (SELECT DISTINCT half FROM templates) WHERE len(h) > 0)),
 shared AS (SELECT doc_id, license, pos, len(list_intersect(own, s)) AS n_shared, len(own) AS n_template FROM windows JOIN templates USING (half))
 SELECT doc_id, license, max(n_shared)::BIGINT AS n_shared, max(n_template)::BIGINT AS n_template, count(*) AS n_windows
 FROM shared WHERE n_shared >= ceil({least} * n_template) GROUP BY doc_id, license"""
