@@ -1,39 +1,75 @@
-"""Connected components of an edge table, by alternating large-star and small-star rounds (Kiveris et al., 2014)."""
+"""Connected components of an edge table."""
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from motifline.llm.common import Scratch
 
 
+def _forest(rows):
+    """Union-find over the rows (x, y) of one partition: a function that gives each node's least node."""
+    up: dict = {}
+
+    def root(x):
+        at = x
+        while (to := up.setdefault(at, at)) != at:
+            at = to
+        while up[x] != at:
+            up[x], x = at, up[x]
+        return at
+
+    for x, y in rows:
+        a, b = root(x), root(y)
+        if a != b:
+            up[max(a, b)] = min(a, b)
+    return up, root
+
+
+def _pairs(batches):
+    for batch in batches:
+        yield from zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
+
+
 def components(scratch: Scratch, edges: DataFrame, name: str, rounds: int = 60) -> DataFrame:
-    """edges (a, b) to (node, root): every node that has an edge to another, and the least node of its component.
+    """edges (a, b) to (node, root): every node of an edge, and the least node of its component.
 
-    Each round joins edges with one row for each node, so a node with very many edges is split like any skewed join,
-    and minima are pre-aggregated. Rounds are written to the shared folder, which cuts the lineage.
+    First each partition of the edges, whatever it holds, is replaced by stars on its own components' least nodes.
+    Then in rounds: rows (node, root) are dealt by node, so all roots that a node was given meet and are joined
+    locally; and roots are replaced by their own roots. A node has one row from then on, so a component, however
+    large, is spread over all tasks; the join by root has one row for each root on one side and is split where
+    skewed. Rounds are written to the shared folder, which cuts the lineage.
     """
-    now = scratch.put(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), f"{name}-0")
-    mark = _mark(now)
+    kind = edges.schema["a"].dataType.simpleString()
+    arrow = {"binary": pa.binary(), "bigint": pa.int64(), "string": pa.string()}[kind]
+
+    def stars(batches):
+        up, root = _forest(_pairs(batches))
+        nodes = list(up)
+        yield pa.RecordBatch.from_arrays([pa.array(nodes, arrow), pa.array([root(x) for x in nodes], arrow)], ["x", "y"])
+
+    def meet(batches):
+        own = []
+
+        def noted():
+            for x, y in _pairs(batches):
+                own.append(x)
+                yield x, y
+
+        up, root = _forest(noted())
+        dealt = set(own)
+        nodes = [x for x in up if x in dealt or root(x) != x]
+        yield pa.RecordBatch.from_arrays([pa.array(nodes, arrow), pa.array([root(x) for x in nodes], arrow), pa.array([x in dealt for x in nodes], pa.bool_())], ["x", "y", "own"])
+
+    rows = scratch.put(edges.select("a", "b").mapInArrow(stars, f"x {kind}, y {kind}"), f"{name}-0")
     for k in range(1, rounds + 1):
-        if not mark[0]:
-            break
-        both = now.union(now.select("v", "u"))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        lower = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(lower, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v")
-        new = scratch.put(small.where("u <> v").distinct(), f"{name}-{k}")
-        scratch.drop(f"{name}-{k - 1}")
-        now, before, mark = new, mark, _mark(new)
-        if mark == before:
-            break
-    else:
-        raise RuntimeError(f"no fixed point after {rounds} rounds")
-    return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
-
-
-def _mark(edges: DataFrame) -> tuple:
-    row = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-    return row["n"], row["h"]
+        met = scratch.put(rows.select("x", "y").repartition("x").mapInArrow(meet, f"x {kind}, y {kind}, own boolean"), f"{name}-{k}-met")
+        own, links = met.where("own").select("x", "y"), met.where("NOT own").select("x", "y")
+        jump = own.select(F.col("x").alias("y"), F.col("y").alias("z"))
+        new = scratch.put(own.join(jump, "y").select("x", F.col("z").alias("y"), (F.col("y") != F.col("z")).alias("moved")), f"{name}-{k}")
+        if not links.limit(1).count() and not new.where("moved").limit(1).count():
+            return new.select(F.col("x").alias("node"), F.col("y").alias("root"))
+        rows = new.select("x", "y").union(links)
+    raise RuntimeError(f"no fixed point after {rounds} rounds")

@@ -227,23 +227,30 @@ def compare(nodes: DataFrame, least: int) -> DataFrame:
     return nodes.repartition("path").sortWithinPartitions("path").mapInArrow(rows, "a binary, b binary")
 
 
+def _few(df: DataFrame, most: int = 100_000) -> DataFrame:
+    """``df`` marked for broadcast if it has ``most`` rows at most."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def candidates(scratch: Scratch, sets: DataFrame, trees: int, limit: int, depth: int, least: int, seed: int, pivots: int = 4) -> DataFrame:
+    """Pairs (a, b) that connect what the trees' nodes hold to be alike; repeats among them."""
     nodes, found = roots(sets, trees, seed), []
     for level in range(1, depth + 1):
-        size = nodes.groupBy("path").agg(F.count("*").alias("_n"))
-        big = scratch.put(size.where(F.col("_n") > limit), f"big{level}")
-        split = nodes.join(big, "path", "left")
-        found.append(scratch.put(compare(split.where("_n IS NULL").drop("_n"), least).distinct(), f"pairs{level}"))
-        if not big.count():
+        big = scratch.put(nodes.groupBy("path").agg(F.count("*").alias("_n")).where(F.col("_n") > limit).select("path"), f"big{level}")
+        if not big.limit(1).count():
+            found.append(scratch.put(compare(nodes, least), f"pairs{level}"))
             return _all(found)
-        nodes = scratch.put(deeper(split.where("_n IS NOT NULL").drop("_n"), sets), f"nodes{level + 1}")
+        few = _few(big)
+        found.append(scratch.put(compare(nodes.join(few, "path", "left_anti"), least), f"pairs{level}"))
+        nodes = scratch.put(deeper(nodes.join(few, "path", "left_semi"), sets), f"nodes{level + 1}")
     # nodes of sets that are much alike: blocks, and pivots that all blocks see
     size = nodes.groupBy("path").agg(F.count("*").alias("_n"), *[F.min(F.struct(F.xxhash64("set", F.lit(k)).alias("h"), "set", "sketch")).alias(f"_p{k}") for k in range(pivots)])
-    blocks = nodes.join(size.select("path", F.ceil(F.col("_n") / limit).alias("_k")), "path").withColumn("_block", F.pmod(F.xxhash64("set"), F.col("_k")))
-    wide = size.where(F.col("_n") > limit).withColumn("p", F.explode(F.array(*[F.struct(F.col(f"_p{k}.set").alias("set"), F.col(f"_p{k}.sketch").alias("sketch")) for k in range(pivots)])))
-    wide = wide.select("path", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("_n") / limit) - 1)).alias("_block"), "p.set", "p.sketch").distinct()
+    size = scratch.put(size.where(F.col("_n") > limit).withColumn("_k", F.ceil(F.col("_n") / limit).cast("long")), "big-last")
+    blocks = nodes.join(_few(size.select("path", "_k")), "path", "left").withColumn("_block", F.pmod(F.xxhash64("set"), F.coalesce("_k", F.lit(1))))
+    wide = size.select("path", "_k", F.explode(F.array(*[F.struct(F.col(f"_p{k}.set").alias("set"), F.col(f"_p{k}.sketch").alias("sketch")) for k in range(pivots)])).alias("p"))
+    wide = wide.select("path", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_k") - 1)).alias("_block"), "p.set", "p.sketch")
     dealt = blocks.select("path", "_block", "set", "sketch").unionByName(wide).select(F.xxhash64("path", "_block").alias("path"), "set", "sketch")
-    found.append(scratch.put(compare(dealt, least).where("a <> b").distinct(), "pairs-blocks"))
+    found.append(scratch.put(compare(dealt, least), "pairs-blocks"))
     return _all(found)
 
 
@@ -268,8 +275,9 @@ def confirm(rows: DataFrame, threshold: float, least: int) -> DataFrame:
             for at, to in zip(edges[:-1].tolist(), edges[1:].tolist()):
                 if to - at > 1:
                     for x, y in _confirmed(table.slice(at, to - at), percent, least):
-                        a.append(x)
-                        b.append(y)
+                        if x != y:
+                            a.append(x)
+                            b.append(y)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
 
     return rows.select("bucket", "set", "sketch", "text", "class").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(links, "a binary, b binary")
@@ -312,42 +320,45 @@ def classes(spark: SparkSession, docs: DataFrame, threshold: float = 0.75, trees
     sketched = _sketched(described.where("n_shingles > 0"))
     sets = scratch.put(sketched, "sets", compression="lz4")
     pairs = candidates(scratch, sets, trees, limit, depth, least, seed)
-    groups = components(scratch, pairs, "groups").withColumnRenamed("node", "set").withColumnRenamed("root", "group")
-    groups = scratch.put(groups, "members")
-    sizes = groups.groupBy("group").agg(F.count("*").alias("_n"))
-    members = scratch.put(sets.join(groups, "set").join(sizes, "group").select("set", "group", "_n", "rep", "tokens"), "candidates")
+    groups = components(scratch, pairs, "groups").select(F.col("node").alias("set"), F.col("root").alias("group"))
+    wide = scratch.put(groups.groupBy("group").agg(F.count("*").alias("_n")).where(F.col("_n") > block), "wide")  # groups of several blocks
+    some_large = bool(wide.limit(1).count())
+    members = sets.join(groups, "set")
+    members = members.join(_few(wide), "group", "left") if some_large else members.withColumn("_n", F.lit(None).cast("long"))
     # the texts of candidates alone: one for each set
     whole = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).alias("d")
     texts = whole.join(members.select("set", "group", "_n", "rep", "tokens").alias("m"), F.col("d.doc_id").eqNullSafe(F.col("m.rep")))
     texts = scratch.put(_with_sketch(texts.select("m.set", "m.group", "m._n", "m.tokens", "d.text")), "texts")
 
     # blocks of a group, and in groups of several blocks the pivots in each
-    blocks = F.ceil(F.col("_n") / block).cast("long")
-    dealt = texts.withColumn("_block", F.pmod(F.xxhash64("set"), blocks))
-    order = F.xxhash64("set", F.lit(7))
-    large = texts.where(F.col("_n") > block)
-    pivot = large.groupBy("group", "_n", F.pmod(order, F.lit(pivots)).alias("_slot")).agg(F.min(order).alias("_least"))
-    common = large.join(pivot.drop("_n"), ["group"]).where((F.pmod(order, F.lit(pivots)) == F.col("_slot")) & (order == F.col("_least")))
-    common = common.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1))).where(F.col("_block") != F.pmod(F.xxhash64("set"), blocks))
-    some_large = bool(large.limit(1).count())
-    rows = dealt.select("set", "group", "sketch", "text", "_block")
-    rows = rows.unionByName(common.select(rows.columns)) if some_large else rows
+    blocks = F.coalesce(F.ceil(F.col("_n") / block), F.lit(1)).cast("long")
+    rows = texts.withColumn("_block", F.pmod(F.xxhash64("set"), blocks)).select("set", "group", "sketch", "text", "_block")
+    if some_large:
+        large = texts.where("_n IS NOT NULL")
+        order = F.xxhash64("set", F.lit(7))
+        slot = F.pmod(order, F.lit(pivots))
+        pivot = _few(large.groupBy("group", slot.alias("_slot")).agg(F.min(order).alias("_least")).select("group", "_least"))
+        common = large.withColumn("_least", order).join(pivot, ["group", "_least"], "left_semi")
+        common = common.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1))).where(F.col("_block") != F.pmod(F.xxhash64("set"), blocks))
+        rows = rows.unionByName(common.select(rows.columns))
     rows = rows.withColumn("bucket", F.xxhash64("group", "_block")).withColumn("class", F.col("set"))
-    links = scratch.put(confirm(rows, threshold, least).where("a <> b"), "links")
+    links = scratch.put(confirm(rows, threshold, least), "links")
     found = components(scratch, links, "linked")
 
     if some_large:  # what lies outside the largest class of its group, against all of the group's blocks
         placed = scratch.put(large.join(found.withColumnRenamed("node", "set"), "set", "left").withColumn("class", F.coalesce("root", "set")).drop("root"), "placed")
         count = placed.groupBy("group", "class").agg(F.count("*").alias("_c"))
-        most = count.groupBy("group").agg(F.max(F.struct("_c", "class")).alias("_most")).select("group", F.col("_most.class").alias("_main"))
-        rest = placed.join(most, "group").where(F.col("class") != F.col("_main"))
-        left = rest.groupBy("group").agg(F.count("*").alias("_r")).withColumn("_parts", F.ceil(F.col("_r") / block).cast("long"))
-        rest = rest.join(left, "group").withColumn("_part", F.pmod(F.xxhash64("set", F.lit(3)), F.col("_parts"))).withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
-        every = placed.join(left, "group").withColumn("_block", F.pmod(F.xxhash64("set"), blocks)).withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_parts") - 1)))
-        keep = ["set", "group", "sketch", "text", "class", "_block", "_part"]
-        rows = rest.select(keep).unionByName(every.select(keep)).withColumn("bucket", F.xxhash64("group", "_block", "_part", F.lit("rest")))
-        more = scratch.put(confirm(rows, threshold, least).where("a <> b"), "more-links")
-        found = components(scratch, links.union(more), "relinked")
+        most = count.groupBy("group").agg(F.max(F.struct("_c", "class")).alias("_most"), F.sum("_c").alias("_all"))
+        most = most.select("group", F.col("_most.class").alias("_main"), (F.col("_all") - F.col("_most._c")).alias("_r")).where("_r > 0")
+        most = scratch.put(most.withColumn("_parts", F.ceil(F.col("_r") / block).cast("long")), "rest")
+        if most.limit(1).count():
+            open_ = placed.join(_few(most), "group")
+            rest = open_.where(F.col("class") != F.col("_main")).withColumn("_part", F.pmod(F.xxhash64("set", F.lit(3)), F.col("_parts"))).withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+            every = open_.withColumn("_block", F.pmod(F.xxhash64("set"), blocks)).withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_parts") - 1)))
+            keep = ["set", "group", "sketch", "text", "class", "_block", "_part"]
+            rows = rest.select(keep).unionByName(every.select(keep)).withColumn("bucket", F.xxhash64("group", "_block", "_part", F.lit("rest")))
+            more = scratch.put(confirm(rows, threshold, least), "more-links")
+            found = components(scratch, links.union(more), "relinked")
 
     named = slim.join(found.withColumnRenamed("node", "set"), "set", "left").withColumn("_class", F.coalesce("root", "set")).drop("root")
     named = scratch.put(named, "named")
