@@ -9,7 +9,6 @@ import numpy as np
 #: Words of these characters alone: already NFC, lower-cased one to one, and cut by PIECES as the tokenizer's own pattern cuts them.
 PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
 PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
-BREAKS = str.maketrans({c: " " for c in "\t\n\r"})
 _LOADED: dict = {}
 
 
@@ -23,10 +22,10 @@ class WordTokenizer:
     """Ids of a tokenizer that drops white space, as ``encode(text, add_special_tokens=False)`` gives them.
 
     Such a tokenizer treats each blank-separated run by itself, so each different run is encoded once while it
-    stays in the cache. ``most`` bounds the runs that are kept; the cache starts anew beyond it.
+    stays in the cache. ``most`` bounds the runs, and the pieces of runs, that are kept; a cache starts anew beyond it.
     """
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 1_000_000):
         from tokenizers import Tokenizer
 
         self.whole, self.most = Tokenizer.from_file(path), most
@@ -34,50 +33,31 @@ class WordTokenizer:
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # the byte-level alphabet
         names = dict(zip(shown, map(chr, shown))) | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in shown)}
         self.alphabet = {b: names[b] for b in range(256)}
-        self._clear()
-
-    def _clear(self) -> None:
-        self.known: dict[str, int] = {"": 0}
-        self.pieces: dict[str, list[int]] = {}
-        self.ids, self.size = np.zeros(1 << 20, np.uint32), 0
-        self.begin, self.count = np.zeros(1 << 18, np.int64), np.zeros(1 << 18, np.int64)
-
-    def _piece(self, piece: str) -> list[int]:
-        found = self.pieces.get(piece)
-        if found is None:
-            found = self.pieces[piece] = [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.alphabet))]
-        return found
-
-    def _learn(self, word: str) -> int:
-        if PLAIN.fullmatch(word) and "<|" not in word:
-            ids = [i for p in PIECES.findall(word.lower()) for i in self._piece(p)]
-        else:
-            ids = self.whole.encode(word, add_special_tokens=False).ids
-        k, n = len(self.known), len(ids)
-        if self.size + n > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros(max(n, len(self.ids)), np.uint32)])
-        if k >= len(self.begin):
-            self.begin, self.count = (np.concatenate([x, np.zeros_like(x)]) for x in (self.begin, self.count))
-        self.ids[self.size : self.size + n] = ids
-        self.begin[k], self.count[k] = self.size, n
-        self.size += n
-        self.known[word] = k
-        return k
+        self.runs, self.pieces = _Cache(self._run), _Cache(self._piece)
+
+    def _piece(self, piece: str) -> bytes:
+        shown = piece if piece.isascii() and piece.isprintable() else piece.encode().decode("latin-1").translate(self.alphabet)
+        return np.array([t.id for t in self.model.tokenize(shown)], "<u4").tobytes()
+
+    def _run(self, run: str) -> bytes:
+        if PLAIN.fullmatch(run) and "<|" not in run:
+            return b"".join(map(self.pieces.__getitem__, PIECES.findall(run.lower())))
+        return np.array(self.whole.encode(run, add_special_tokens=False).ids, "<u4").tobytes()
 
     def encode(self, text: str) -> np.ndarray:
-        if len(self.known) > self.most:
-            self._clear()
-        runs = text.translate(BREAKS).split(" ") if ("\n" in text or "\t" in text or "\r" in text) else text.split(" ")
-        get, learn = self.known.get, self._learn
-        which = [get(r) for r in runs]
-        if None in which:
-            known = self.known
-            which = [(known[r] if r in known else learn(r)) if k is None else k for k, r in zip(which, runs)]
-        at = np.array(which, np.int64)
-        n = self.count[at]
-        total = int(n.sum())
-        before = np.cumsum(n) - n
-        return self.ids[np.repeat(self.begin[at] - before, n) + np.arange(total)]
+        for cache in (self.runs, self.pieces):
+            if len(cache) > self.most:
+                cache.clear()
+        return np.frombuffer(b"".join(map(self.runs.__getitem__, text.replace("\n", " ").replace("\t", " ").split(" "))), "<u4")
+
+
+class _Cache(dict):
+    def __init__(self, make):
+        self.make = make
+
+    def __missing__(self, key: str) -> bytes:
+        made = self[key] = self.make(key)
+        return made
 
 
 def tokenizer(path: str) -> WordTokenizer:
