@@ -218,7 +218,7 @@ def mask_column(c: CompiledPattern) -> Column:
 def symbol_column(c: CompiledPattern) -> Column:
     """The number of the event's min-term, or -1 for one that the declarations exclude."""
     masks = c.alphabet.masks
-    if masks == list(range(len(masks))):
+    if masks == list(range(1 << len(c.alphabet.atoms))):
         return mask_column(c).cast("int")
     found = F.create_map(*[F.lit(x) for k, m in enumerate(masks) for x in (m, k)])
     return F.coalesce(F.try_element_at(found, mask_column(c).cast("int")), F.lit(-1))
