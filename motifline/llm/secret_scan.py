@@ -97,10 +97,10 @@ def scan(spark: SparkSession, versions: DataFrame, ledger: str, rules: tuple[Rul
         wanted = wanted.join(seen, "blob", "left").withColumn("todo", F.array_except(F.array(*map(F.lit, names)), F.coalesce("_seen", F.array().cast("array<string>")))).where(F.size("todo") > 0).drop("_seen")
     else:
         wanted = wanted.withColumn("todo", F.array(*map(F.lit, names)))
-    # one text for each blob: that of its least key
+    # one text for each blob: that of its least key; rows that repeat both bring it again
     a, b = all_texts.alias("a"), wanted.alias("b")
     blobs = a.join(b, (F.col("a.blob") == F.col("b.blob")) & F.col("a._key").eqNullSafe(F.col("b._key"))).select("a.blob", "a.text", "b.todo")
-    find(blobs, rules).write.mode("append").parquet(ledger)
+    find(blobs, rules).dropDuplicates(["blob", "rule"]).write.mode("append").parquet(ledger)
     found = _ledger(spark, ledger).where(F.col("rule").isin(names) & (F.size("spans") > 0)).dropDuplicates(["blob", "rule"])
     findings = found.groupBy("blob").agg(F.sort_array(F.flatten(F.collect_list("spans"))).alias("spans"))  # as many as there are rules
     return paths, findings
