@@ -48,9 +48,9 @@ def targets(sizes: DataFrame, weights: tuple = (1, 2, 3), cap: float = 3.0) -> D
 def plan(sizes: DataFrame, weights: tuple, cap: float) -> DataFrame:
     """One row a source: target, whole copies and the share that is drawn. sizes: (doc_id, source, size)."""
     goal = targets(sizes.groupBy("source").agg(F.sum("size").cast("long").alias("source_size")), weights, cap).drop("weight")
-    goal = goal.withColumn("_mix_whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
+    goal = goal.withColumn("_mix_whole", F.coalesce(F.floor(F.try_divide("target", "source_size")), F.lit(0)).cast("long"))
     goal = goal.withColumn("_mix_words", F.col("target") - F.col("_mix_whole") * F.col("source_size"))
-    goal = goal.withColumn("_mix_p", F.when(F.col("source_size") > 0, F.col("_mix_words") / F.col("source_size")).otherwise(F.lit(0.0)))
+    goal = goal.withColumn("_mix_p", F.coalesce(F.try_divide("_mix_words", "source_size"), F.lit(0.0)))
     return goal
 
 
@@ -59,11 +59,11 @@ def _ranked(docs: DataFrame, goal: DataFrame, seed: str, buckets: int, few: bool
     goal = goal.withColumnRenamed("source", "_mix_source")
     out = docs.join(F.broadcast(goal) if few else goal, F.col("source").eqNullSafe(F.col("_mix_source"))).drop("_mix_source")
     u = (F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))), 1, 13), 16, 10).cast("long") + F.lit(0.5)) / F.lit(float(1 << 52))
-    odds = F.col("_mix_p") / (1 - F.col("_mix_p")) * F.col("_mix_tilt")
-    q = F.col("_mix_u") / (1 - F.col("_mix_u")) / odds
+    odds = F.try_divide(F.col("_mix_p"), 1 - F.col("_mix_p")) * F.col("_mix_tilt")
+    q = F.try_divide(F.col("_mix_u") / (1 - F.col("_mix_u")), odds)
     out = out.withColumn("_mix_u", u).withColumn("_mix_rank", q / (1 + q))
     key = F.struct(F.col("_mix_rank"), F.coalesce(F.col("doc_id"), F.lit(-(1 << 63))).alias("id"), F.col("size"))
-    out = out.withColumn("_mix_key", F.when((F.col("_mix_p") > 0) & (F.col("size") > 0), key))
+    out = out.withColumn("_mix_key", F.when((F.col("_mix_p") > 0) & (F.col("size") > 0) & F.col("_mix_rank").isNotNull(), key))
     return out.withColumn("_mix_bucket", F.when(F.col("_mix_key").isNotNull(), F.least(F.floor(F.col("_mix_rank") * buckets), F.lit(buckets - 1)).cast("int")))
 
 
