@@ -194,7 +194,7 @@ def range_join(df: DataFrame, c: CompiledPattern) -> DataFrame:
         out = out.where(F.lit(False))
     for k in range(1, len(parts)):
         right = named(k)
-        on = (F.col("_part") == F.col(f"_part_{k}")) & (F.col("_epoch") == F.col(f"_epoch_{k}")) & (F.col(f"_cnt_{k}") > F.col(f"_cnt_{k - 1}"))
+        on = F.col("_part").eqNullSafe(F.col(f"_part_{k}")) & (F.col("_epoch") == F.col(f"_epoch_{k}")) & (F.col(f"_cnt_{k}") > F.col(f"_cnt_{k - 1}"))
         if p.window:
             out = out.withColumn("_near", F.explode(F.array(F.col("_bucket_0"), F.col("_bucket_0") + 1)))
             on = on & (F.col("_near") == F.col(f"_bucket_{k}")) & (F.abs(F.col(f"{scale}_{k}") - F.col(f"{scale}_0")) < p.window)
