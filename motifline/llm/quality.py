@@ -10,10 +10,13 @@ summed to the next lower order, down to byte pairs, of which there are 65,536 at
 seen fewer than ``least`` times count in the discounts but are scored by back-off, so a document's own rare strings
 don't vouch for it.
 
-A document's perplexity is that of its bytes. For each language, a histogram of log perplexities over the documents
-that pass the base rules gives the quartiles; documents more than ``width`` inter-quartile ranges (at least
-``floor``) below the first or above the third are rejected. The means of short texts vary more, so the band of a
-text of n bytes is wider by ``short`` / sqrt(n) on both sides: four standard errors at 1.5 nats a byte.
+A document's perplexity is that of its bytes. The log perplexity of n bytes varies about its language's median as
+1 / sqrt(n), so deviations from the median are multiplied by sqrt(n) before their quartiles are taken, for each
+language over the different texts that pass the base rules. These give Tukey's fences at every length: rejected are
+documents more than ``above`` inter-quartile ranges over the third quartile or ``below`` under the first. ``below`` is
+wider since texts that have copies vouch for each other: they lie low, and are left to the near-duplicate stage. Each
+fence is moved out by ``few`` / sqrt(texts) ranges, four standard errors of a fence, as quartiles of few documents
+are uncertain; a range counts as ``floor`` at least, so that a language of copies alone has a band. No labels are used.
 
 Null text has no words and fails the base rules. A null language is a language of its own. Repeated rows each get
 their verdict and each count in the model. An empty table gives no rows. Extra columns are ignored.
@@ -240,23 +243,31 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), key_of().alias("key"), F.col("text").cast("string").alias("text")).mapInArrow(rows, SCORES)
 
 
-def judge(spark: SparkSession, docs: DataFrame, order: int = 5, least: int = 2, most: int = 4_000_000, width: float = 4.0, floor: float = 0.05, short: float = 6.0, step: float = 0.005) -> DataFrame:
-    """docs (doc_id, text, lang) to counts, base_failed, perplexity, its language's band and kept."""
+def _quartiles(rows: DataFrame, value: Column, step: float, **shares: float) -> DataFrame:
+    """For each language the documents (_docs) and exact quantiles of ``value`` rounded to ``step``, from a histogram."""
+    bins = rows.groupBy("lang", F.round(value / step).cast("long").alias("_bin")).agg(F.count("*").alias("_n"))
+    upto = Window.partitionBy("lang").orderBy("_bin")
+    share = bins.withColumn("_share", F.sum("_n").over(upto) / F.sum("_n").over(Window.partitionBy("lang")))
+    at = [(F.min(F.when(F.col("_share") >= q, F.col("_bin"))) * step).alias(name) for name, q in shares.items()]
+    return share.groupBy("lang").agg(F.sum("_n").alias("_docs"), *at).withColumnRenamed("lang", "_lang")
+
+
+def judge(spark: SparkSession, docs: DataFrame, order: int = 5, least: int = 2, most: int = 4_000_000, above: float = 1.5, below: float = 3.0, few: float = 10.0, floor: float = 0.5) -> DataFrame:
+    """docs (doc_id, text, lang) to counts, base_failed, perplexity, its language's band at its length and kept."""
     scratch = Scratch(spark, "quality")
     scored = scratch.put(score(docs, train(docs, order, least, most, scratch)), "scores")
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     scored = scored.withColumn("base_failed", failed).withColumn("_bits", F.when(F.col("n_bytes") > 0, -F.col("log_prob") / F.col("n_bytes")))
-    # exact quartiles of the rounded logs, from a histogram by language
-    bins = scored.where(~F.col("base_failed")).groupBy("lang", F.round(F.col("_bits") / step).cast("long").alias("_bin")).agg(F.count("*").alias("_n"))
-    upto = Window.partitionBy("lang").orderBy("_bin")
-    share = bins.withColumn("_share", F.sum("_n").over(upto) / F.sum("_n").over(Window.partitionBy("lang")))
-    at = lambda q: F.min(F.when(F.col("_share") >= q, F.col("_bin"))) * step
-    bands = share.groupBy("lang").agg(at(0.25).alias("_q1"), at(0.75).alias("_q3"))
-    spread = F.greatest(F.col("_q3") - F.col("_q1"), F.lit(floor)) * width
-    bands = bands.select(F.col("lang").alias("_lang"), (F.col("_q1") - spread).alias("_low"), (F.col("_q3") + spread).alias("_high"))
-    chance = short / F.sqrt(F.greatest(F.col("n_bytes"), F.lit(1)))
-    out = scored.join(bands, F.col("lang").eqNullSafe(F.col("_lang")), "left")
-    out = out.withColumn("_low", F.col("_low") - chance).withColumn("_high", F.col("_high") + chance)
+    passed, same = scored.where(~F.col("base_failed")).dropDuplicates(["lang", "key"]), F.col("lang").eqNullSafe(F.col("_lang"))
+    middle = scratch.put(_quartiles(passed, F.col("_bits"), 0.001, _middle=0.5).drop("_docs"), "middle")
+    apart, step = (F.col("_bits") - F.col("_middle")) * F.sqrt("n_bytes"), 0.01
+    bands = _quartiles(passed.join(middle, same).drop("_lang"), apart, step, _q1=0.25, _q3=0.75)
+    spread, unsure = F.greatest(F.col("_q3") - F.col("_q1"), F.lit(floor)), F.lit(few) / F.sqrt("_docs")
+    bands = bands.select("_lang", (F.col("_q1") - step - spread * (unsure + below)).alias("_low"), (F.col("_q3") + step + spread * (unsure + above)).alias("_high"))
+    bands = scratch.put(bands.join(middle.withColumnRenamed("_lang", "_of"), F.col("_lang").eqNullSafe(F.col("_of"))).drop("_of"), "bands")
+    out = scored.join(bands, same, "left")
+    at = lambda side: F.col("_middle") + F.col(side) / F.sqrt(F.greatest(F.col("n_bytes"), F.lit(1)))
+    out = out.withColumn("_low", at("_low")).withColumn("_high", at("_high"))
     inside = F.coalesce((F.col("_bits") >= F.col("_low")) & (F.col("_bits") <= F.col("_high")), F.lit(True))
     return out.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & inside).alias("kept"),

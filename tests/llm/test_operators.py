@@ -226,6 +226,22 @@ def test_perplexity_bands_reject_noise_and_keep_prose(spark):
     assert not kept[1000] and all(kept[k] for k in range(80))
 
 
+def syllables(rng, n):
+    """Invented prose: words of syllables that recur with unequal odds."""
+    parts = "the an in er on re he th at en nd ti es or te of ed is it al ar st to nt ng se ha as ou io le ve co me de hi ri ro ic ne ea ra ce li ch ll be ma si om ur".split()
+    return ["".join(rng.choices(parts, [1 / (k + 1) for k in range(len(parts))], k=rng.randrange(1, 5))) for _ in range(n)]
+
+
+def test_perplexity_bands_reject_junk_of_in_language_words(spark):
+    rng = random.Random(5)
+    rows = [(k, " ".join(syllables(rng, rng.choice([60, 150, 400]))), "en", "a") for k in range(300)]
+    spoil = lambda w: w[: len(w) // 2] + rng.choice("#*$%&|<>") + w[len(w) // 2 :] if rng.random() < 0.3 else w
+    rows += [(1000 + k, " ".join(map(spoil, syllables(rng, 300))), "en", "a") for k in range(6)]
+    kept = {r["doc_id"]: r["kept"] for r in quality.judge(spark, docs(spark, rows)).collect()}
+    assert not any(kept[k] for k in kept if k >= 1000)
+    assert sum(not kept[k] for k in range(300)) <= 3
+
+
 # --- 5, 7 ---------------------------------------------------------------------------------------------------------
 def test_tokenizer_cache_gives_the_tokenizers_ids():
     texts = [t or "" for _, t, *_ in mixed()] + ["a<|endoftext|>b", "don't WON'T I'LL 12ab34 x²½ ÀÉ ×÷ µª º İstanbul é é ́x \x00 \x1c\x85\xa0z a\tb\r\nc", "we're''s it's'd 'S"]
