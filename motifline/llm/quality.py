@@ -5,10 +5,12 @@ its n-grams and sends each different one once, and Spark sums them. (Word n-gram
 pair of such text is new, so their counts outgrow the text itself.) Discounts, interpolated probabilities and back-off
 weights follow Chen and Goodman; they are kept in arrays sorted by the n-grams' hashes.
 
-The arrays are broadcast, behind a check of their size: if an order has more than ``most`` n-grams, the counts are
-summed to the next lower order, down to byte pairs, of which there are 65,536 at most. N-grams of the highest order
-seen fewer than ``least`` times count in the discounts but are scored by back-off, so a document's own rare strings
-don't vouch for it.
+The order is the same at every size. Above ``most`` n-grams the model is cut into parts by the two bytes before the
+last one: an n-gram, its suffixes of three bytes and more, and their contexts share these, so each part is exact on its
+own once the counts of counts and the byte pairs (65,536 at most) are summed over all. Parts are gathered, built and
+broadcast in turn, each scores the bytes that are its own, and a text's sums are added up. A part exceeds ``most`` only
+if one pair of bytes does by itself (2^24 n-grams at most). N-grams of the highest order seen fewer than ``least``
+times count in the discounts but are scored by back-off, so a document's own rare strings don't vouch for it.
 
 A document's perplexity is that of its bytes. The log perplexity of n bytes varies about its language's median as
 1 / sqrt(n), so deviations from the median are multiplied by sqrt(n) before their quartiles are taken, for each
@@ -26,6 +28,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -116,23 +119,50 @@ class Hashed:
         return out
 
 
+def _levels(keys: np.ndarray, n: np.ndarray, order: int, lowest: int) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Sorted n-grams and counts of each order; below the highest, how many different symbols go before."""
+    by = np.argsort(keys)
+    levels = {order: (keys[by].astype(np.uint64), n[by].astype(np.int64))}
+    for k in range(order - 1, lowest - 1, -1):
+        above = levels[k + 1][0]
+        levels[k] = _summed(above & np.uint64((1 << 8 * k) - 1), np.ones(len(above), np.int64))
+    return levels
+
+
+def _tally(n: np.ndarray) -> np.ndarray:
+    """How many n-grams are counted 1, 2, 3 and 4 times."""
+    return np.bincount(np.minimum(n, 5), minlength=6)[1:5]
+
+
+class Whole:
+    """What the parts of a model share: counts of counts by order, and the byte pairs with how many symbols go before."""
+
+    def __init__(self, order: int):
+        self.order, self.tallies = order, {k: np.zeros(4, np.int64) for k in range(3, order + 1)}
+        self.pairs = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+
+    def add(self, keys: np.ndarray, n: np.ndarray) -> None:
+        levels = _levels(keys, n, self.order, 2)
+        for k in self.tallies:
+            self.tallies[k] += _tally(levels[k][1])
+        self.pairs = _summed(*map(np.concatenate, zip(self.pairs, levels[2])))
+
+
 class Model:
     """Interpolated modified Kneser-Ney over bytes, from the counts of the highest order's n-grams (keys as ``grams`` makes them)."""
 
-    def __init__(self, keys: np.ndarray, n: np.ndarray, order: int, least: int = 1):
-        self.order = order
-        by = np.argsort(keys)
-        keys, n = keys[by].astype(np.uint64), n[by].astype(np.int64)
-        levels = {order: (keys, n)}
-        for k in range(order - 1, 0, -1):  # how many different symbols go before
-            above = levels[k + 1][0]
-            levels[k] = _summed(above & np.uint64((1 << 8 * k) - 1), np.ones(len(above), np.int64))
+    def __init__(self, keys: np.ndarray, n: np.ndarray, order: int, least: int = 1, whole: Whole | None = None, span: tuple[int, int] = (0, 1 << 16)):
+        self.order, self.span = order, span
+        levels = _levels(keys, n, order, 1 if whole is None else 3)
+        if whole is not None:
+            levels[2] = whole.pairs
+            levels[1] = _summed(whole.pairs[0] & np.uint64(255), np.ones(len(whole.pairs[0]), np.int64))
         self.tables: dict[int, Hashed] = {}
         self.backs: dict[int, Hashed] = {}
         lower_keys, lower = None, None
         for k in range(1, order + 1):
             keys, n = levels[k]
-            d = self._discounts(n)
+            d = self._discounts(_tally(n) if whole is None or k < 3 else whole.tallies[k])
             context = keys >> np.uint64(8)
             # a level's n-grams are sorted by context: the last symbol is lowest
             new = np.flatnonzero(np.r_[True, context[1:] != context[:-1]]) if len(keys) else np.zeros(0, np.int64)
@@ -152,13 +182,23 @@ class Model:
             self.backs[k] = Hashed(context[new], np.log(np.maximum(back, 1e-12)))
 
     @staticmethod
-    def _discounts(n: np.ndarray) -> np.ndarray:
-        n1, n2, n3, n4 = (int((n == k).sum()) for k in (1, 2, 3, 4))
+    def _discounts(tally: np.ndarray) -> np.ndarray:
+        n1, n2, n3, n4 = tally.tolist()
         if not (n1 and n2 and n3):  # too few n-grams to tell
             return np.array([0, 0.5, 0.75, 0.9])
         y = n1 / (n1 + 2 * n2)
         return np.clip(np.array([0, 1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3]), 0.01, [0.01, 0.99, 1.99, 2.99])
 
+    def own_log_probs(self, keys: np.ndarray) -> np.ndarray:
+        """``log_probs`` of the n-grams of this part, 0 for others."""
+        if self.span == (0, 1 << 16):
+            return self.log_probs(keys)
+        pair = _pair(keys)
+        own = np.flatnonzero((pair >= self.span[0]) & (pair < self.span[1]))
+        out = np.zeros(len(keys))
+        out[own] = self.log_probs(keys[own])
+        return out
+
     def log_probs(self, keys: np.ndarray) -> np.ndarray:
         """Natural logs of each last symbol's probability after the symbols before it."""
         out, left, back = np.zeros(len(keys)), np.arange(len(keys)), np.zeros(len(keys))
@@ -176,8 +216,42 @@ class Model:
         return out
 
 
+def _pair(keys: np.ndarray) -> np.ndarray:
+    """The two bytes before the last one."""
+    return (keys >> np.uint64(8)) & np.uint64(0xFFFF)
+
+
+def parts(docs: DataFrame, order: int = 5, least: int = 2, most: int = 4_000_000, scratch: Scratch | None = None):
+    """Yields the model of all texts in parts of about ``most`` n-grams, each of which is gathered when it is asked for."""
+    counted = (scratch or Scratch(docs.sparkSession, "grams")).put(count(docs, order), f"grams{order}")
+    pair = F.shiftrightunsigned("gram", 8).bitwiseAND(F.lit(0xFFFF).cast("long"))
+    sizes = np.zeros(1 << 16, np.int64)
+    for r in counted.groupBy(pair.alias("pair")).count().collect():
+        sizes[r["pair"]] = r["count"]
+    cuts, size = [0], 0
+    for k in np.flatnonzero(sizes).tolist():
+        if size and size + sizes[k] > most and order > 2:
+            cuts.append(k)
+            size = 0
+        size += int(sizes[k])
+    spans = list(zip(cuts, [*cuts[1:], 1 << 16]))
+
+    def gathered(span):
+        got = counted.where((pair >= span[0]) & (pair < span[1])).toArrow()
+        return got["gram"].to_numpy().astype(np.uint64), got["n"].to_numpy()
+
+    if len(spans) == 1:
+        yield Model(*gathered(spans[0]), order, least)
+        return
+    whole = Whole(order)
+    for span in spans:
+        whole.add(*gathered(span))
+    for span in spans:
+        yield Model(*gathered(span), order, least, whole, span)
+
+
 def train(docs: DataFrame, order: int = 5, least: int = 2, most: int = 4_000_000, scratch: Scratch | None = None) -> Model:
-    """A model of all texts. Its order is the highest up to ``order`` with at most ``most`` n-grams, and 2 at least."""
+    """A model of all texts in one piece, for small corpora (``judge`` scores by ``parts``). Its order is the highest up to ``order`` with at most ``most`` n-grams, and 2 at least."""
     counted = (scratch or Scratch(docs.sparkSession, "grams")).put(count(docs, order), f"grams{order}")
     while order > 2 and counted.count() > most:
         order -= 1
@@ -226,15 +300,14 @@ def key_of() -> Column:
     return F.xxhash64(F.col("text").cast("string"), F.col("lang").cast("string"))
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """The base counts and the log probability of each text."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+def score(docs: DataFrame, shared: Broadcast) -> DataFrame:
+    """The base counts and the log probability of each text; of the bytes of the model's part, if it is one."""
 
     def rows(batches):
         for batch in batches:
             for own, data, starts in slices(batch):
                 m = shared.value
-                logs = np.r_[0.0, np.cumsum(m.log_probs(grams(data, starts, m.order)))]
+                logs = np.r_[0.0, np.cumsum(m.own_log_probs(grams(data, starts, m.order)))]
                 columns = [*base(data, starts), np.diff(starts), logs[starts[1:]] - logs[starts[:-1]]]
                 names = [f.split()[0] for f in SCORES.split(", ")]
                 kinds = [pa.int64()] * 6 + [pa.float64()]
@@ -243,6 +316,25 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), key_of().alias("key"), F.col("text").cast("string").alias("text")).mapInArrow(rows, SCORES)
 
 
+def score_by_parts(docs: DataFrame, models, scratch: Scratch) -> DataFrame:
+    """``score`` with the parts of a model in turn, their log probabilities added up. Repeated rows stay repeated."""
+    done = []
+    for k, model in enumerate(models):
+        shared = docs.sparkSession.sparkContext.broadcast(model)
+        done.append(scratch.put(score(docs, shared), f"scores{k}"))
+        shared.destroy()
+    if len(done) == 1:
+        return done[0]
+    same = [f.split()[0] for f in SCORES.split(", ")][:-1]
+    every = None
+    for k, one in enumerate(done):
+        one = one.withColumn("_first", F.lit(int(k == 0)))
+        every = one if every is None else every.unionByName(one)
+    out = every.groupBy(*same).agg(F.sum("log_prob").alias("log_prob"), F.sum("_first").alias("_rows"))
+    out = out.withColumn("log_prob", F.col("log_prob") / F.col("_rows")).withColumn("_row", F.explode(F.sequence(F.lit(1).cast("long"), "_rows")))
+    return scratch.put(out.select(*same, "log_prob"), "scores")
+
+
 def _quartiles(rows: DataFrame, value: Column, step: float, **shares: float) -> DataFrame:
     """For each language the documents (_docs) and exact quantiles of ``value`` rounded to ``step``, from a histogram."""
     bins = rows.groupBy("lang", F.round(value / step).cast("long").alias("_bin")).agg(F.count("*").alias("_n"))
@@ -255,7 +347,7 @@ def _quartiles(rows: DataFrame, value: Column, step: float, **shares: float) ->
 def judge(spark: SparkSession, docs: DataFrame, order: int = 5, least: int = 2, most: int = 4_000_000, above: float = 1.5, below: float = 3.0, few: float = 10.0, floor: float = 0.5) -> DataFrame:
     """docs (doc_id, text, lang) to counts, base_failed, perplexity, its language's band at its length and kept."""
     scratch = Scratch(spark, "quality")
-    scored = scratch.put(score(docs, train(docs, order, least, most, scratch)), "scores")
+    scored = score_by_parts(docs, parts(docs, order, least, most, scratch), scratch)
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     scored = scored.withColumn("base_failed", failed).withColumn("_bits", F.when(F.col("n_bytes") > 0, -F.col("log_prob") / F.col("n_bytes")))
     passed, same = scored.where(~F.col("base_failed")).dropDuplicates(["lang", "key"]), F.col("lang").eqNullSafe(F.col("_lang"))

@@ -242,6 +242,17 @@ def test_perplexity_bands_reject_junk_of_in_language_words(spark):
     assert sum(not kept[k] for k in range(300)) <= 3
 
 
+def test_a_model_in_parts_gives_the_scores_of_the_whole(spark):
+    rows = docs(spark, mixed() + [(200, "\x00\x7f binary \U0010ffff like text " * 3, "en", "a"), (200, "\x00\x7f binary \U0010ffff like text " * 3, "en", "a")])
+    assert len(list(quality.parts(rows, most=200))) > 5
+    whole, cut = ({(r["doc_id"], r["key"]): r for r in quality.judge(spark, rows, most=most).collect()} for most in (4_000_000, 200))
+    assert whole.keys() == cut.keys() and quality.judge(spark, rows, most=200).count() == rows.count()
+    for k, r in whole.items():
+        assert r["kept"] == cut[k]["kept"] and r["base_failed"] == cut[k]["base_failed"]
+        assert (r["perplexity"] is None) == (cut[k]["perplexity"] is None)
+        assert r["perplexity"] is None or math.isclose(r["perplexity"], cut[k]["perplexity"], rel_tol=1e-5)
+
+
 # --- 5, 7 ---------------------------------------------------------------------------------------------------------
 def test_tokenizer_cache_gives_the_tokenizers_ids():
     texts = [t or "" for _, t, *_ in mixed()] + ["a<|endoftext|>b", "don't WON'T I'LL 12ab34 x²½ ÀÉ ×÷ µª º İstanbul é é ́x \x00 \x1c\x85\xa0z a\tb\r\nc", "we're''s it's'd 'S"]
