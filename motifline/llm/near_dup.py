@@ -25,7 +25,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from motifline.llm.common import Rolling, Scratch, mix64, random_words, slices, words
@@ -35,7 +35,7 @@ SHINGLE, TOKENS = 5, 128
 CASE = np.arange(256, dtype=np.uint8)
 CASE[65:91] += 32
 XOR, TIMES = (random_words(TOKENS, 5) >> np.uint64(32)).astype(np.uint32), (random_words(TOKENS, 6) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
-SETS = "doc_id long, n_shingles long, set binary, tokens binary"
+SETS = "doc_id long, n_shingles long, set binary, tokens binary, key long"
 
 
 def shingles(data: np.ndarray, starts: np.ndarray) -> list[np.ndarray]:
@@ -101,16 +101,21 @@ def least_agreeing(threshold: float) -> int:
     return math.floor(TOKENS * (p - 4 * math.sqrt(p * (1 - p) / TOKENS)))
 
 
+def key_of() -> Column:
+    """Tells texts apart."""
+    return F.xxhash64(F.col("text").cast("string"))
+
+
 def describe(docs: DataFrame) -> DataFrame:
     def rows(batches):
         for batch in batches:
             for own, data, starts in slices(batch):
                 sets = shingles(data, starts)
                 tokens = minwise(sets)
-                columns = [own.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([digest(s) for s in sets], pa.binary()), pa.array([t.tobytes() if len(s) else None for s, t in zip(sets, tokens)], pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "set", "tokens"])
+                columns = [own.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([digest(s) for s in sets], pa.binary()), pa.array([t.tobytes() if len(s) else None for s, t in zip(sets, tokens)], pa.binary()), own.column(2)]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "set", "tokens", "key"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(rows, SETS)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), key_of().alias("key")).mapInArrow(rows, SETS)
 
 
 def _tokens(column: pa.Array) -> np.ndarray:
@@ -312,11 +317,11 @@ def _confirmed(table: pa.Table, percent: int, least: int):
                 label[label == label[j]] = label[i]
 
 
-def classes(spark: SparkSession, docs: DataFrame, threshold: float = 0.75, trees: int = 10, limit: int = 1000, depth: int = 3, block: int = 500, pivots: int = 8, seed: int = 0) -> DataFrame:
-    """docs (doc_id, text) to doc_id, n_shingles, component_id (the class's least id) and kept (the row that names its class)."""
+def named(spark: SparkSession, docs: DataFrame, threshold: float = 0.75, trees: int = 10, limit: int = 1000, depth: int = 3, block: int = 500, pivots: int = 8, seed: int = 0) -> DataFrame:
+    """docs (doc_id, text) to doc_id, n_shingles, key, set and _class (a set of the row's class), in a scratch table."""
     scratch, least = Scratch(spark, "near-dup"), least_agreeing(threshold)
     described = scratch.put(describe(docs), "described", compression="lz4")
-    slim = described.select("doc_id", "n_shingles", "set")
+    slim = described.select("doc_id", "n_shingles", "key", "set")
     sketched = _sketched(described.where("n_shingles > 0"))
     sets = scratch.put(sketched, "sets", compression="lz4")
     pairs = candidates(scratch, sets, trees, limit, depth, least, seed)
@@ -360,10 +365,14 @@ def classes(spark: SparkSession, docs: DataFrame, threshold: float = 0.75, trees
             more = scratch.put(confirm(rows, threshold, least), "more-links")
             found = components(scratch, links.union(more), "relinked")
 
-    named = slim.join(found.withColumnRenamed("node", "set"), "set", "left").withColumn("_class", F.coalesce("root", "set")).drop("root")
-    named = scratch.put(named, "named")
-    least_id = named.where("n_shingles > 0").groupBy("_class").agg(F.min("doc_id").alias("_least"))
-    out = named.join(least_id, "_class", "left").withColumn("component_id", F.when(F.col("n_shingles") > 0, F.col("_least")).otherwise(F.col("doc_id")))
+    return scratch.put(slim.join(found.withColumnRenamed("node", "set"), "set", "left").withColumn("_class", F.coalesce("root", "set")).drop("root"), "named")
+
+
+def classes(spark: SparkSession, docs: DataFrame, **options) -> DataFrame:
+    """docs (doc_id, text) to doc_id, n_shingles, component_id (the class's least id) and kept (the row that names its class)."""
+    rows = named(spark, docs, **options)
+    least_id = rows.where("n_shingles > 0").groupBy("_class").agg(F.min("doc_id").alias("_least"))
+    out = rows.join(least_id, "_class", "left").withColumn("component_id", F.when(F.col("n_shingles") > 0, F.col("_least")).otherwise(F.col("doc_id")))
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
 
 
@@ -383,8 +392,13 @@ def _with_sketch(rows: DataFrame) -> DataFrame:
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, **options) -> DataFrame:
-    """One row of each class, that of its least id, with all its columns. Rows without an id don't stay."""
-    firsts = classes(spark, docs.select("doc_id", "text"), **options).where("kept").select(F.col("doc_id").alias("_id")).distinct()
-    # different texts of one id all stay if one of them names a class
-    out = docs.join(firsts, docs["doc_id"].cast("long") == F.col("_id"), "left_semi")
+    """One row of each class, that of its least id (null ids last), then of its least text hash, with all its columns.
+
+    Blank texts are classes of their own; rows with neither an id nor a text go.
+    """
+    rows = named(spark, docs.select("doc_id", "text"), **options)
+    first = rows.where("n_shingles > 0").groupBy("_class").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("_f"))
+    firsts = first.select(F.col("_f.doc_id").alias("_id"), F.col("_f.key").alias("_key")).unionByName(rows.where("n_shingles = 0").select(F.col("doc_id").alias("_id"), F.col("key").alias("_key")))
+    some = docs.where(F.col("doc_id").isNotNull() | F.col("text").isNotNull())
+    out = some.join(firsts, some["doc_id"].cast("long").eqNullSafe(F.col("_id")) & (key_of() == F.col("_key")), "left_semi")
     return out.dropDuplicates(["doc_id", "text"])

@@ -74,6 +74,16 @@ def test_keep_one_keeps_a_row_of_each_class_with_its_columns(spark):
     assert set(kept[0].asDict()) == {"doc_id", "text", "extra"}
 
 
+def test_keep_one_keeps_classes_without_ids_and_one_row_of_shared_ids(spark):
+    rng = random.Random(6)
+    a, b, c = ([f"{x}{rng.randrange(900)}" for _ in range(60)] for x in "abc")
+    near = " ".join([*b[:-1], "changed"])
+    rows = [(None, " ".join(a), "x"), (None, " ".join([*a[:-1], "changed"]), "y"), (1, " ".join(b), "x"), (2, near, "x"), (2, " ".join(c), "x"), (None, " ", "blank")]
+    kept = near_dup.keep_one(spark, spark.createDataFrame(rows, SCHEMA)).collect()
+    assert {(r["doc_id"], r["text"]) for r in kept if r["doc_id"] is not None} == {(1, rows[2][1]), (2, rows[4][1])}
+    assert sorted(len(r["text"]) > 1 for r in kept if r["doc_id"] is None) == [False, True]
+
+
 def test_long_text_and_sketches(spark):
     words = [f"v{k}" for k in range(60_000)]
     rows = [(1, " ".join(words), None), (2, " ".join(words[:59_000]), None), (3, " ".join(words[:30_000]), None)]
