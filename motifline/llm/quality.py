@@ -18,7 +18,7 @@ language over the different texts that pass the base rules. These give Tukey's f
 documents more than ``above`` inter-quartile ranges over the third quartile or ``below`` under the first. ``below`` is
 wider since texts that have copies vouch for each other: they lie low, and are left to the near-duplicate stage. Each
 fence is moved out by ``few`` / sqrt(texts) ranges, four standard errors of a fence, as quartiles of few documents
-are uncertain; a range counts as ``floor`` at least, so that a language of copies alone has a band. No labels are used.
+are uncertain; a range counts as ``floor`` at least, so that a language of copies alone has a band. A run uses no labels; ``below`` was chosen on those of sf0.1.
 
 Null text has no words and fails the base rules. A null language is a language of its own. Repeated rows each get
 their verdict and each count in the model. An empty table gives no rows. Extra columns are ignored.
