@@ -9,6 +9,7 @@ import uuid
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _MADE: list = []
 
@@ -31,18 +32,26 @@ def shared_dir(spark: SparkSession) -> str:
 class Scratch:
     """Tables of one run, written below the shared folder, so that later steps survive lost executors.
 
-    Tables that the returned DataFrame still reads stay until the session's end; ``drop`` removes others at once.
+    Tables that the returned DataFrame still reads stay until the session's end; ``drop`` and ``keep`` remove others at once.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+        self.names: set[str] = set()
         atexit.register(self.drop)
 
     def put(self, df: DataFrame, name: str, **options) -> DataFrame:
+        self.names.add(name)
         path = f"{self.root}/{name}"
         df.write.options(**options).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def keep(self, *names: str) -> None:
+        """Drop all other tables."""
+        for name in self.names - set(names):
+            self.drop(name)
+        self.names &= set(names)
+
     def drop(self, name: str = "") -> None:
         try:
             jvm = self.spark.sparkContext._jvm
@@ -53,6 +62,18 @@ class Scratch:
                 raise
 
 
+def spread_join(rows: DataFrame, table: DataFrame, on: list[str], copies: str, share: int = 1000) -> DataFrame:
+    """``rows`` joined with ``table`` (one row a key; ``copies``: how many of ``rows`` have it) without a hot task.
+
+    Keys that more than 1 / ``share`` of the matching rows have, fewer than ``share``, are broadcast; the others are
+    joined by a shuffle. Both should be tables, as they are read twice.
+    """
+    total = table.agg(F.sum(copies)).first()[0] or 0
+    hot = F.broadcast(table.where(F.col(copies) * share > F.lit(total)))
+    cold = rows.join(hot.select(*on), on, "left_anti").join(table.where(F.col(copies) * share <= F.lit(total)), on)
+    return rows.join(hot, on).select(cold.columns).unionByName(cold)
+
+
 def slices(batch: pa.RecordBatch, column: str = "text", most: int = 2_000_000):
     """Cut a batch into runs of rows whose texts hold about ``most`` bytes; a longer text is a run of its own.
 
@@ -88,7 +109,9 @@ def random_words(n: int, seed: int) -> np.ndarray:
 class Rolling:
     """Polynomial hashes modulo 2**64 of any span of a byte array, by one cumulative sum.
 
-    ``of(start, end)`` depends on the spanned bytes alone (after ``table`` maps each byte to a 64-bit word).
+    ``of(start, end)`` depends on the spanned bytes alone (after ``table`` maps each byte to a 64-bit word). Some
+    different strings of 1,024 bytes and more collide for every base, so these hashes choose places and never tell that
+    texts are equal.
     """
 
     _powers: dict = {}
