@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import hashlib
 import tempfile
 import uuid
 
@@ -158,3 +159,33 @@ def words(data: np.ndarray, starts: np.ndarray):
     if len(both):
         begin, end = np.sort(np.concatenate([begin, both])), np.sort(np.concatenate([end, both]))
     return begin, end, np.diff(np.searchsorted(begin, starts))
+
+
+def word_codes(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
+    """A number for each word, equal where the words are, and the different words in the numbers' order."""
+    size = end - begin
+    offsets = np.zeros(len(begin) + 1, np.int64)
+    np.cumsum(size, out=offsets[1:])
+    joined = data[~SPACE[data]]  # words are all that isn't space
+    coded = pa.Array.from_buffers(pa.large_binary(), len(begin), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(joined))]).dictionary_encode()
+    return coded.indices.to_numpy(), coded.dictionary.to_pylist()
+
+
+def word_hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """(words, 2): 128-bit BLAKE2 hashes of the words."""
+    if not len(begin):
+        return np.zeros((0, 2), np.uint64)
+    codes, different = word_codes(data, begin, end)
+    hashes = np.frombuffer(b"".join([hashlib.blake2b(w, digest_size=16).digest() for w in different]), "<u8").reshape(-1, 2)
+    return hashes[codes]
+
+
+def fresh(docs: DataFrame, *names: str) -> list[str]:
+    """``names``, each with as many underscores before it as make it no column of ``docs``."""
+    taken, out = {c.lower() for c in docs.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out

@@ -55,13 +55,63 @@ def fixture(seed=1):
     return rows
 
 
-@pytest.mark.parametrize("options", [{}, {"limit": 4, "block": 5, "depth": 2}, {"limit": 3, "block": 4, "depth": 1, "pivots": 2}])
+@pytest.mark.parametrize("options", [{}, {"limit": 4, "block": 5}, {"limit": 3, "block": 4, "pivots": 2}])
 def test_classes_are_those_of_all_pairs(spark, options):
     rows = fixture()
     got = {tuple(r) for r in near_dup.classes(spark, spark.createDataFrame(rows, SCHEMA), **options).collect()}
     assert got == brute(rows)
 
 
+def loose(seed=3):
+    """Two chains of texts, each like its neighbours alone, and texts that share most of their shingles with no link."""
+    rng = random.Random(seed)
+    vocab = [f"v{k}" for k in range(5000)]
+    rows = []
+    for c in range(2):
+        w = [rng.choice(vocab) for _ in range(100)]
+        for k in range(45):
+            rows.append((1000 * c + k, " ".join(w), None))
+            w[2 * k % 96 : 2 * k % 96 + 2] = rng.sample(vocab, 2)
+    common = [rng.choice(vocab) for _ in range(80)]
+    rows += [(5000 + k, " ".join(common + [rng.choice(vocab) for _ in range(30)]), None) for k in range(40)]
+    return rows
+
+
+@pytest.mark.parametrize("options", [{"limit": 12, "block": 6}])
+def test_loose_components_lose_no_link(spark, options):
+    rows = loose()
+    got = {tuple(r) for r in near_dup.classes(spark, spark.createDataFrame(rows, SCHEMA), **options).collect()}
+    assert got == brute(rows)
+
+
+def test_words_that_polynomial_hashes_confuse(spark):
+    """The Thue-Morse word and its complement have equal polynomial hashes modulo 2**64 for every base."""
+    word = "".join("ab"[bin(k).count("1") % 2] for k in range(1024))
+    other = word.translate(str.maketrans("ab", "ba"))
+    rows = [(1, word, None), (2, other, None), (3, word, None)]
+    got = {r["doc_id"]: r["component_id"] for r in near_dup.classes(spark, spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {1: 1, 2: 2, 3: 1}
+
+
+def test_names_keep_the_order_of_ids(spark):
+    from pyspark.sql import functions as F
+
+    ids = [-(2**63), -5, 0, 7, 2**63 - 1, None]
+    rows = spark.createDataFrame([(k,) for k in ids], "doc_id long").withColumn("name", near_dup._name(F.col("doc_id"), F.lit(b"x" * 16)))
+    found = rows.withColumn("back", near_dup._id_of(F.col("name"))).collect()
+    assert [r["doc_id"] for r in sorted(found, key=lambda r: bytes(r["name"]))] == ids
+    assert all(r["doc_id"] == r["back"] and len(r["name"]) == 25 for r in found)
+
+
+def test_extra_columns_with_clashing_names(spark):
+    names = ["_id", "_key", "_many", "key", "set", "name", "root", "group", "_n", "n"]
+    rows = [(k, f"some text of six words {k // 2}", *["x"] * len(names)) for k in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"{c} string" for c in names))
+    kept = near_dup.keep_one(spark, docs)
+    assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == [0, 2, 4]
+    assert {r["component_id"] for r in near_dup.classes(spark, docs).collect()} == {0, 2, 4}
+
+
 def test_empty_table(spark):
     assert near_dup.classes(spark, spark.createDataFrame([], SCHEMA)).count() == 0
 
