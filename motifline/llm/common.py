@@ -161,23 +161,23 @@ def words(data: np.ndarray, starts: np.ndarray):
     return begin, end, np.diff(np.searchsorted(begin, starts))
 
 
-def word_codes(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
-    """A number for each word, equal where the words are, and the different words in the numbers' order."""
-    size = end - begin
-    offsets = np.zeros(len(begin) + 1, np.int64)
-    np.cumsum(size, out=offsets[1:])
-    joined = data[~SPACE[data]]  # words are all that isn't space
-    coded = pa.Array.from_buffers(pa.large_binary(), len(begin), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(joined))]).dictionary_encode()
-    return coded.indices.to_numpy(), coded.dictionary.to_pylist()
-
-
 def word_hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """(words, 2): 128-bit BLAKE2 hashes of the words."""
-    if not len(begin):
-        return np.zeros((0, 2), np.uint64)
-    codes, different = word_codes(data, begin, end)
-    hashes = np.frombuffer(b"".join([hashlib.blake2b(w, digest_size=16).digest() for w in different]), "<u8").reshape(-1, 2)
-    return hashes[codes]
+    """(words, 2): two 64-bit hashes of each word. Up to 16 bytes are mixed as they are, longer words by BLAKE2."""
+    size = end - begin
+    padded = np.concatenate([data, np.zeros(16, np.uint8)])
+    eight = np.ndarray(len(data) + 9, "<u8", padded, strides=(1,))  # the eight bytes from each place
+    keep = np.r_[np.uint64(0), (~np.uint64(0)) >> (np.uint64(8) * np.arange(7, -1, -1, dtype=np.uint64))]  # masks of 0 to 8 bytes
+    low = eight[begin] & keep[np.minimum(size, 8)]
+    high = eight[np.minimum(begin + 8, len(data))] & keep[np.clip(size - 8, 0, 8)]
+    out = np.empty((len(begin), 2), np.uint64)
+    for k, add in enumerate(random_words(2, 91)):
+        out[:, k] = mix64(mix64(mix64(low + add) + high) + size.astype(np.uint64))
+    long = np.flatnonzero(size > 16)
+    if len(long):
+        raw = data.tobytes()
+        digests = [hashlib.blake2b(raw[a:b], digest_size=16).digest() for a, b in zip(begin[long].tolist(), end[long].tolist())]
+        out[long] = np.frombuffer(b"".join(digests), "<u8").reshape(-1, 2)
+    return out
 
 
 def fresh(docs: DataFrame, *names: str) -> list[str]:

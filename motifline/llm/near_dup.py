@@ -14,8 +14,8 @@
    forest of each node's pairs is kept, never all pairs.
 5. Inside a candidate component of up to ``block`` sets every pair that the sketches allow, and that links don't
    connect yet, is confirmed on the full sets, and each link on the shingles themselves. Larger components are dealt
-   into blocks that share pivots. If up to ``block`` sets then lie outside the component's largest class, they are
-   compared with all of its blocks; if more do, steps 2 and 3 are taken inside the component, with the classes found so
+   into blocks that share pivots. If up to ``parts`` * ``block`` sets then lie outside the component's largest class,
+   they are compared with all of its blocks; if more do, steps 2 and 3 are taken inside the component, with the classes found so
    far in the pivots' stead and full sets compared in the nodes. Either way a text is copied a bounded number of times.
 6. Classes are the connected components of the confirmed links. They are named by their least set, whose name holds the
    least id, so rows are never gathered or joined by class.
@@ -219,7 +219,7 @@ def deeper(nodes: DataFrame, sets: DataFrame) -> DataFrame:
             which, position = _branches(path)
             yield _node_batch(_child(path[which], position, tokens[which, position]), batch.column(1), sketch(tokens), batch.column(3), which)
 
-    return nodes.select("path", "name", "class").join(sets.select("name", "tokens"), "name").select("path", "name", "tokens", "class").mapInArrow(rows, NODES)
+    return _few(nodes.select("path", "name", "class")).join(sets.select("name", "tokens"), "name").select("path", "name", "tokens", "class").mapInArrow(rows, NODES)
 
 
 def forest(sk: np.ndarray, least: int, label: np.ndarray | None = None):
@@ -289,7 +289,7 @@ def _few(df: DataFrame, most: int = 100_000) -> DataFrame:
 def descend(scratch: Scratch, nodes: DataFrame, sets: DataFrame, limit: int, judge: Callable[[DataFrame, int], DataFrame], name: str, rounds: int = 500) -> list[DataFrame]:
     """Tables of buckets (bucket, name, sketch, class, main) of about ``limit`` rows to 2 * ``limit`` that hold all nodes' comparisons.
 
-    ``judge`` adds ``main`` to the rows of nodes beyond ``limit``: rows of a node's main part need no comparison with
+    ``judge`` makes a table of the rows of nodes beyond ``limit`` with ``main``: rows of a node's main part need no comparison with
     each other. Nodes whose other rows are more than ``limit`` go on to their children.
     """
     out, keep = [], ["bucket", "name", "sketch", "class", "main"]
@@ -300,7 +300,7 @@ def descend(scratch: Scratch, nodes: DataFrame, sets: DataFrame, limit: int, jud
         out.append(small.withColumn("main", F.lit(False)).withColumnRenamed("path", "bucket").select(keep))
         if not some:
             return out
-        judged = scratch.put(judge(scratch.put(spread_join(nodes, big, ["path"], "_n"), f"{name}-large{level}"), level), f"{name}-judged{level}")
+        judged = judge(scratch.put(nodes.join(_few(big.select("path")), "path", "left_semi"), f"{name}-large{level}"), level)
         rest = judged.groupBy("path").agg(F.count("*").alias("_n"), F.count(F.when(~F.col("main"), 1)).alias("_r")).where("_r > 0")
         rest = scratch.put(rest, f"{name}-rest{level}")
         near = spread_join(judged, rest.where(F.col("_r") <= limit), ["path"], "_n")
@@ -312,7 +312,7 @@ def descend(scratch: Scratch, nodes: DataFrame, sets: DataFrame, limit: int, jud
         far = rest.where(F.col("_r") > limit)
         if not far.limit(1).count():
             return out
-        nodes = scratch.put(deeper(spread_join(judged, far, ["path"], "_n"), sets), f"{name}-nodes{level + 1}")
+        nodes = scratch.put(deeper(judged.join(_few(far.select("path")), "path", "left_semi"), sets), f"{name}-nodes{level + 1}")
     raise RuntimeError(f"nodes are still open after {rounds} levels")
 
 
@@ -372,7 +372,7 @@ def candidates(scratch: Scratch, sets: DataFrame, trees: int, limit: int, least:
         lead = lead.select("path", "_n", F.array(*[F.struct(F.col(f"_p{k}.name").alias("name"), F.col(f"_p{k}.sketch").alias("sketch")) for k in range(pivots)]).alias("pivots"))
         lead = scratch.put(lead.mapInArrow(_settle(least), "path long, _n long, pivots array<struct<name:binary,sketch:binary,part:int>>, main int, a array<binary>, b array<binary>"), f"pivots{level}")
         found.append(lead.select(F.explode(F.arrays_zip("a", "b")).alias("e")).select("e.a", "e.b"))
-        rows = spread_join(large.drop("_n"), lead.select("path", "_n", "pivots", F.col("main").alias("_main")), ["path"], "_n")
+        rows = spread_join(large, lead.select("path", "_n", "pivots", F.col("main").alias("_main")), ["path"], "_n")
         rows = rows.select("path", "name", "sketch", "class", "pivots", "_main").mapInArrow(_tied(least), f"{NODES}, main boolean, near array<binary>")
         rows = scratch.put(rows, f"tied{level}")
         found.append(rows.select(F.col("name").alias("a"), F.explode("near").alias("b")).where("a <> b"))
@@ -394,7 +394,8 @@ def _all(parts: list[DataFrame]) -> DataFrame:
 def confirm(rows: DataFrame, threshold: float, least: int) -> DataFrame:
     """Links (a, b) inside each bucket, confirmed on the full sets, as few as connect what they connect.
 
-    rows: bucket, name, sketch, text and class. Pairs of one class are connected already.
+    rows: bucket, name, sketch, text, class and side. Pairs of one class are connected already. Rows of side 1 are only
+    compared with those of sides 2 and 3, where a row of side 3 is of side 1 in another bucket; of side 0, all pairs.
     """
     percent = round(threshold * 100)
 
@@ -409,7 +410,7 @@ def confirm(rows: DataFrame, threshold: float, least: int) -> DataFrame:
                         b.append(y)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
 
-    return rows.select("bucket", "name", "sketch", "text", "class").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(links, "a binary, b binary")
+    return rows.select("bucket", "name", "sketch", "text", "class", "side").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(links, "a binary, b binary")
 
 
 def _confirmed(table: pa.Table, percent: int, least: int):
@@ -422,10 +423,16 @@ def _confirmed(table: pa.Table, percent: int, least: int):
         for _, data, starts in slices(batch):
             own += shingles(data, starts)
     sk = np.frombuffer(b"".join(table.column("sketch").to_pylist()), "<u8").reshape(-1, 4)
-    size = np.array([len(s) for s in own])
+    size, side = np.array([len(s) for s in own]), table.column("side").to_numpy()
+    order = np.argsort(np.argsort(np.array(names, dtype="S25")))
     exact = lambda i: exact_shingles(texts[i].as_py().encode())
-    for i in range(len(names) - 1):
-        other = np.flatnonzero(label[i + 1 :] != label[i]) + i + 1
+    for i in range(len(names)):
+        if side[i] == 0:
+            other = np.flatnonzero(label[i + 1 :] != label[i]) + i + 1
+        elif side[i] == 1:
+            other = np.flatnonzero((label != label[i]) & ((side == 2) | ((side == 3) & (order > order[i]))))
+        else:
+            continue
         other = other[100 * np.minimum(size[other], size[i]) >= percent * np.maximum(size[other], size[i])]
         agree = agreeing(sk[other], sk[i])
         other, agree = other[agree >= least], agree[agree >= least]
@@ -444,14 +451,19 @@ def _confirmed(table: pa.Table, percent: int, least: int):
                     label[label == label[j]] = label[i]
 
 
-def _by_class(large: DataFrame, level: int) -> DataFrame:
+def by_class(scratch: Scratch) -> Callable[[DataFrame, int], DataFrame]:
     """Of each node the rows of its most frequent class are its main part."""
-    count = large.groupBy("path", "class", "_n").agg(F.count("*").alias("_c"))
-    most = count.groupBy("path", "_n").agg(F.max(F.struct("_c", "class")).alias("_most")).select("path", "_n", F.col("_most.class").alias("_main"))
-    return spread_join(large.drop("_n"), most, ["path"], "_n").select("path", "name", "sketch", "class", (F.col("class") == F.col("_main")).alias("main"))
+
+    def judge(large: DataFrame, level: int) -> DataFrame:
+        count = large.groupBy("path", "class").agg(F.count("*").alias("_c"))
+        most = count.groupBy("path").agg(F.max(F.struct("_c", "class")).alias("_most"), F.sum("_c").alias("_n")).select("path", "_n", F.col("_most.class").alias("_main"))
+        rows = spread_join(large, scratch.put(most, f"inner-classes{level}"), ["path"], "_n")
+        return scratch.put(rows.select("path", "name", "sketch", "class", (F.col("class") == F.col("_main")).alias("main")), f"inner-judged{level}")
+
+    return judge
 
 
-def linked(spark: SparkSession, docs: DataFrame, threshold: float = 0.75, trees: int = 10, limit: int = 1000, block: int = 500, pivots: int = 6, seed: int = 0) -> tuple[Scratch, DataFrame, DataFrame]:
+def linked(spark: SparkSession, docs: DataFrame, threshold: float = 0.75, trees: int = 10, limit: int = 1000, block: int = 500, parts: int = 8, pivots: int = 6, seed: int = 0) -> tuple[Scratch, DataFrame, DataFrame]:
     """docs (doc_id, text) to its scratch folder, a row for each row (doc_id, n_shingles, key, set), and one for each set: set, name, rep, rep_key, copies and root, the name of its class."""
     scratch, least = Scratch(spark, "near-dup"), least_agreeing(threshold)
     described = scratch.put(describe(docs), "described", compression="lz4")
@@ -482,7 +494,7 @@ def linked(spark: SparkSession, docs: DataFrame, threshold: float = 0.75, trees:
         common = large.withColumn("_order", order).join(_few(pivot), ["group", "_order"], "left_semi")
         common = common.withColumn("_block", F.explode(every)).where(F.col("_block") != own)
         rows = rows.unionByName(common.select(rows.columns))
-    links = scratch.put(confirm(rows.withColumn("bucket", F.xxhash64("group", "_block")).withColumn("class", F.col("name")), threshold, least), "links")
+    links = scratch.put(confirm(rows.withColumn("bucket", F.xxhash64("group", "_block")).withColumn("class", F.col("name")).withColumn("side", F.lit(0)), threshold, least), "links")
     found = components(scratch, links, "linked")
 
     if some_wide:  # what lies outside the largest class of its group
@@ -493,14 +505,19 @@ def linked(spark: SparkSession, docs: DataFrame, threshold: float = 0.75, trees:
         most = scratch.put(most.select("group", "_n", F.col("_most.class").alias("_main"), (F.col("_all") - F.col("_most._c")).alias("_r")).where("_r > 0"), "rest")
         if most.limit(1).count():
             slim = placed.drop("_n")
-            few = spread_join(slim, most.where(F.col("_r") <= block), ["group"], "_n")
-            few = few.withColumn("_block", F.explode(F.when(F.col("class") == F.col("_main"), F.array(own)).otherwise(every)))
-            dealt = [few.withColumn("bucket", F.xxhash64("group", "_block")).select("bucket", "name", "class")]
-            many = scratch.put(spread_join(slim, most.where(F.col("_r") > block), ["group"], "_n").select("name", "class", F.xxhash64("group").alias("salt")), "many")
+            # the rest in parts, each against all blocks: up to ``parts`` + 1 copies of a text on average
+            fits, cut = F.col("_r") <= parts * block, F.ceil(F.col("_r") / block).cast("long")
+            few = scratch.put(spread_join(slim, most.where(fits), ["group"], "_n"), "few")
+            part, outside = F.pmod(F.xxhash64("name", F.lit(3)), cut), F.col("class") != F.col("_main")
+            rest = few.where(outside).withColumn("_part", part).withColumn("_block", F.explode(every)).withColumn("side", F.lit(1))
+            whole_ = few.withColumn("_block", own).withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), cut - 1))).withColumn("side", F.when(outside, 3).otherwise(2))
+            at = ["group", "_block", "_part", "name", "class", "side"]
+            dealt = [rest.select(at).unionByName(whole_.select(at)).withColumn("bucket", F.xxhash64("group", "_block", "_part", F.lit("rest"))).select("bucket", "name", "class", "side")]
+            many = scratch.put(spread_join(slim, most.where(~fits), ["group"], "_n").select("name", "class", F.xxhash64("group").alias("salt")), "many")
             if many.limit(1).count():
                 nodes = scratch.put(roots(many.join(sets.select("name", "tokens"), "name"), trees, seed + 1), "inner-nodes1")
-                for part in descend(scratch, nodes, sets, block, _by_class, "inner"):
-                    dealt.append(part.select("bucket", "name", "class"))
+                for part in descend(scratch, nodes, sets, block, by_class(scratch), "inner"):
+                    dealt.append(part.select("bucket", "name", "class", F.lit(0).alias("side")))
             buckets = scratch.put(_all(dealt), "buckets")
             open_ = buckets.groupBy("bucket").agg(F.min("class").alias("a"), F.max("class").alias("b")).where("a <> b").select("bucket")
             buckets = buckets.join(open_, "bucket")

@@ -55,7 +55,7 @@ def fixture(seed=1):
     return rows
 
 
-@pytest.mark.parametrize("options", [{}, {"limit": 4, "block": 5}, {"limit": 3, "block": 4, "pivots": 2}])
+@pytest.mark.parametrize("options", [{}, {"limit": 4, "block": 5, "pivots": 2}])
 def test_classes_are_those_of_all_pairs(spark, options):
     rows = fixture()
     got = {tuple(r) for r in near_dup.classes(spark, spark.createDataFrame(rows, SCHEMA), **options).collect()}
@@ -77,7 +77,7 @@ def loose(seed=3):
     return rows
 
 
-@pytest.mark.parametrize("options", [{"limit": 12, "block": 6}])
+@pytest.mark.parametrize("options", [{"limit": 30, "block": 12}, {"limit": 16, "block": 10, "parts": 1}])
 def test_loose_components_lose_no_link(spark, options):
     rows = loose()
     got = {tuple(r) for r in near_dup.classes(spark, spark.createDataFrame(rows, SCHEMA), **options).collect()}
