@@ -21,7 +21,9 @@ fence is moved out by ``few`` / sqrt(texts) ranges, four standard errors of a fe
 are uncertain; a range counts as ``floor`` at least, so that a language of copies alone has a band. A run uses no labels; ``below`` was chosen on those of sf0.1.
 
 Null text has no words and fails the base rules. A null language is a language of its own. Repeated rows each get
-their verdict and each count in the model. An empty table gives no rows. Extra columns are ignored.
+their verdict and each count in the model. A very long text is one text like any other: it is scored in one piece.
+Perplexities that tie with a fence are kept. An empty table gives no rows. Extra columns are ignored by ``judge`` and
+kept by ``keep``, whatever their names.
 """
 
 from __future__ import annotations
@@ -32,7 +34,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from motifline.llm.common import SPACE, Rolling, Scratch, mix64, slices, words
+from motifline.llm.common import SPACE, Scratch, fresh, mix64, slices, word_hashes, words
 
 SYMBOLS = np.zeros(256, np.int64)
 SYMBOLS[list(b"#*$%&|<>")] = 1
@@ -250,13 +252,9 @@ def parts(docs: DataFrame, order: int = 5, least: int = 2, most: int = 4_000_000
         yield Model(*gathered(span), order, least, whole, span)
 
 
-def train(docs: DataFrame, order: int = 5, least: int = 2, most: int = 4_000_000, scratch: Scratch | None = None) -> Model:
-    """A model of all texts in one piece, for small corpora (``judge`` scores by ``parts``). Its order is the highest up to ``order`` with at most ``most`` n-grams, and 2 at least."""
-    counted = (scratch or Scratch(docs.sparkSession, "grams")).put(count(docs, order), f"grams{order}")
-    while order > 2 and counted.count() > most:
-        order -= 1
-        counted = counted.groupBy(F.col("gram").bitwiseAND(F.lit((1 << 8 * order) - 1)).alias("gram")).agg(F.sum("n").alias("n"))
-    got = counted.toArrow()
+def train(docs: DataFrame, order: int = 5, least: int = 2) -> Model:
+    """A model of all texts in one piece, for small corpora (``judge`` scores by ``parts``)."""
+    got = Scratch(docs.sparkSession, "grams").put(count(docs, order), f"grams{order}").toArrow()
     return Model(got["gram"].to_numpy().astype(np.uint64), got["n"].to_numpy(), order, least)
 
 
@@ -276,14 +274,14 @@ def base(data: np.ndarray, starts: np.ndarray):
         lines = [x for x in raw[a:b].split(b"\n") if x and not x.isspace()]
         dup[i] = len(lines) - len(set(lines))
     # five-word windows: equal if their words are
-    rolled = Rolling(data, 41).of(begin, end)
+    word = word_hashes(data, begin, end)[:, 0]
     doc = np.repeat(np.arange(n), n_words)
     repeat = np.zeros(n, np.int64)
     if len(begin) >= WINDOW:
         m = len(begin) - WINDOW + 1
         h = doc[:m].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
         for k in range(WINDOW):
-            h = mix64(h + rolled[k : k + m])
+            h = mix64(h + word[k : k + m])
         inside = np.flatnonzero(doc[:m] == doc[WINDOW - 1 :])
         order = inside[np.argsort(h[inside], kind="stable")]
         same = h[order][1:] == h[order][:-1]
@@ -369,5 +367,6 @@ def judge(spark: SparkSession, docs: DataFrame, order: int = 5, least: int = 2,
 
 def keep(spark: SparkSession, docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` that the rules keep, with all their columns."""
-    good = judge(spark, docs.select("doc_id", "text", "lang"), **options).where("kept").select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"))
-    return docs.join(good, docs["doc_id"].cast("long").eqNullSafe(F.col("_id")) & (key_of() == F.col("_key")), "left_semi")
+    id_, key = fresh(docs, "_id", "_key")
+    good = judge(spark, docs.select("doc_id", "text", "lang"), **options).where("kept").select(F.col("doc_id").alias(id_), F.col("key").alias(key))
+    return docs.join(good, docs["doc_id"].cast("long").eqNullSafe(F.col(id_)) & (key_of() == F.col(key)), "left_semi")

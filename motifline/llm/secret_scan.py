@@ -5,8 +5,9 @@ version that was ever scanned, the spans found. A scan works on the pairs that t
 many paths and versions share it, appends them, and joins the findings back to all paths.
 
 Spans are code-point offsets, end exclusive, of leftmost non-overlapping matches of a rule, without those whose value
-is shorter than the rule asks. Null text counts as empty and has no spans. Repeated rows each get their findings. An
-empty table gives no rows. Input columns beyond those named are ignored by ``scan``; ``redact`` keeps them.
+is shorter than the rule asks. Null text counts as empty and has no spans. Repeated rows each get their findings. A
+very long text is scanned whole, in one row. Spans that tie in start are ordered by rule. An empty table gives no rows.
+Input columns beyond those named are ignored by ``scan``; ``redact`` keeps them, whatever their names.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from motifline.llm.common import Scratch
+from motifline.llm.common import Scratch, fresh
 
 SPANS = "array<struct<start:int,ord:int,end:int,kind:string>>"
 LEDGER = f"blob string, rule string, spans {SPANS}"
@@ -136,12 +137,13 @@ def redacted(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
 
 def redact(spark: SparkSession, docs: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """``docs`` with the secrets in ``text`` replaced, and ``n_chars``, if there, counted anew. Clean rows stay as they are."""
-    _, findings = scan(spark, docs, ledger, rules)
-    blob = F.sha2(F.encode(F.coalesce(F.col("text").cast("string"), F.lit("")), "UTF-8"), 256)
-    out = docs.withColumn("_blob", blob).join(findings.select(F.col("blob").alias("_blob"), F.col("spans").alias("_spans")), "_blob", "left")
-    out = out.withColumn("text", F.when(F.col("_spans").isNotNull(), redacted(F.col("text"), F.col("_spans"))).otherwise(F.col("text")))
+    _, findings = scan(spark, docs.select("doc_id", "text"), ledger, rules)
+    blob, spans = fresh(docs, "_blob", "_spans")
+    digest = F.sha2(F.encode(F.coalesce(F.col("text").cast("string"), F.lit("")), "UTF-8"), 256)
+    out = docs.withColumn(blob, digest).join(findings.select(F.col("blob").alias(blob), F.col("spans").alias(spans)), blob, "left")
+    out = out.withColumn("text", F.when(F.col(spans).isNotNull(), redacted(F.col("text"), F.col(spans))).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_spans").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+        out = out.withColumn("n_chars", F.when(F.col(spans).isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)
 
 
