@@ -3,7 +3,7 @@
 Each source's target is its share by weight, capped at ``cap`` times its size, what is above being reshared by weight.
 A document's expected copies are target / source size. Their whole part is taken for certain; for the rest each source
 draws a sample without replacement: documents are ranked by random odds over inclusion odds (Rosen's Pareto order),
-and the lowest are taken until the source's words come nearest to its target. A document's inclusion odds are those of
+and the lowest are taken up to the first that exceeds the source's target. A document's inclusion odds are those of
 the fractional part of its expected copies times sqrt(size), so longer documents are likelier; ``tilt`` names a column
 of other factors. What is still missing after the cut is filled: from the greatest size that fits downwards, of each
 size the undrawn document of lowest rank is taken if it still fits.
@@ -11,7 +11,7 @@ size the undrawn document of lowest rank is taken if it still fits.
 The random number is the first 52 bits of an MD5 of seed and id, so reruns agree on any cluster. The cut is found
 without ranking a source in one task: ranks are bucketed, words are summed by bucket, and only the bucket that holds
 the cut (about one in ``buckets`` of a source's rows) is ordered row by row. The fill works on a source's distinct sizes
-that fit, which are fewer than half its longest document's words.
+that fit, which are fewer than its longest document's words.
 
 Null or empty text has size 0 and is never drawn beyond whole copies of nothing; a very long text is one document. A
 null source is a source of its own, last. Repeated rows have equal ranks and are drawn together; other ties are ordered
@@ -106,7 +106,7 @@ def _copies(spark: SparkSession, docs: DataFrame, weights: tuple, cap: float, se
     near = ranked.join(small_or_not(cut), F.col("source").eqNullSafe(F.col("_mix_source")) & (F.col("_mix_bucket") == F.col("_mix_cut")))
     inside = Window.partitionBy("source").orderBy("_mix_key").rowsBetween(Window.unboundedPreceding, -1)
     short = F.col("_mix_words") - F.col("_mix_before") - F.coalesce(F.sum("size").over(inside), F.lit(0))  # words still missing before a row
-    near = near.withColumn("_mix_short", short).groupBy("source").agg(F.max(F.when(F.col("_mix_short") * 2 > F.col("size"), F.struct("_mix_key", (F.col("_mix_short") - F.col("size")).alias("gap")))).alias("_l"), F.max("_mix_short").alias("_s"))
+    near = near.withColumn("_mix_short", short).groupBy("source").agg(F.max(F.when(F.col("_mix_short") >= F.col("size"), F.struct("_mix_key", (F.col("_mix_short") - F.col("size")).alias("gap")))).alias("_l"), F.max("_mix_short").alias("_s"))
     last = near.select(F.col("source").alias("_mix_source"), F.col("_l._mix_key").alias("_mix_last"), F.coalesce("_l.gap", "_s").alias("_mix_gap"))
     goal = goal.join(cut, goal["source"].eqNullSafe(cut["_mix_source"]), "left").drop("_mix_source", "_mix_before").join(last, F.col("source").eqNullSafe(F.col("_mix_source")), "left").drop("_mix_source")
     goal = scratch.put(goal, "plan")
@@ -161,9 +161,9 @@ drawn AS (SELECT row, doc_id, size, source_size, target, whole, words, p, (('0x'
 ranked AS (SELECT *, u / (1 - u) / (p / (1 - p) * sqrt(size::DOUBLE)) AS q FROM drawn WHERE p > 0 AND size > 0),
 ordered AS (SELECT *, q / (1 + q) AS rank, coalesce(doc_id, -9223372036854775808) AS id FROM ranked),
 cut AS (SELECT *, words - coalesce(sum(size) OVER (PARTITION BY source ORDER BY rank, id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS short FROM ordered),
-gaps AS (SELECT source, min(CASE WHEN short * 2 > size THEN short - size ELSE short END) FILTER (short > 0) AS gap FROM cut GROUP BY source),
-undrawn AS (SELECT cut.source, size, row FROM cut JOIN gaps ON cut.source IS NOT DISTINCT FROM gaps.source WHERE NOT short * 2 > size AND size <= gap QUALIFY row_number() OVER (PARTITION BY cut.source, size ORDER BY rank, id) = 1),
+gaps AS (SELECT source, min(CASE WHEN short >= size THEN short - size ELSE short END) FILTER (short > 0) AS gap FROM cut GROUP BY source),
+undrawn AS (SELECT cut.source, size, row FROM cut JOIN gaps ON cut.source IS NOT DISTINCT FROM gaps.source WHERE NOT short >= size AND size <= gap QUALIFY row_number() OVER (PARTITION BY cut.source, size ORDER BY rank, id) = 1),
 walk AS (SELECT source, gap, 9223372036854775807 AS size, NULL::BIGINT AS row FROM gaps
   UNION ALL SELECT w.source, w.gap - max(u.size), max(u.size), arg_max(u.row, u.size) FROM walk w JOIN undrawn u ON w.source IS NOT DISTINCT FROM u.source AND u.size <= w.gap AND u.size < w.size GROUP BY w.source, w.gap),
-taken AS (SELECT row, true AS yes FROM cut WHERE short * 2 > size UNION ALL SELECT row, true FROM walk WHERE row IS NOT NULL)
+taken AS (SELECT row, true AS yes FROM cut WHERE short >= size UNION ALL SELECT row, true FROM walk WHERE row IS NOT NULL)
 SELECT doc_id, size, source_size, target, (whole + coalesce(yes, false)::BIGINT) * size AS taken, whole + coalesce(yes, false)::BIGINT AS copies FROM drawn LEFT JOIN taken USING (row)"""
