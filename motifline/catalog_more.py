@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from motifline import catalog as C
 from motifline.functions.geo import RADIUS_KM
+from motifline.functions.predicates import predicate
 from motifline.operators import forecast as fc
 from motifline.operators import markov, waiting
 from motifline.operators import recognize as R
-from motifline.plans import automaton
+from motifline.plans import ast, automaton, compiled
 from motifline.plans.compiled import compile_one
 from motifline.sources import readers
 
@@ -43,6 +44,11 @@ parsing("parse_maritime", "events", "event_id", f"concat_ws(',', {MICROS}, user_
 parsing("parse_stock", "orders", "o_orderkey", "concat(if(o_orderstatus = 'O', 'BUY', 'SELL'), '(id=', o_orderkey, ',name=', o_orderpriority, ',volume=', o_custkey, ',price=', o_totalprice, ',ts=', unix_micros(CAST(o_orderdate AS TIMESTAMP)), ')')", "stock", ["id", "event_type", "ts", "name", "price"],
         "SELECT o_orderkey AS id, CASE WHEN o_orderstatus = 'O' THEN 'BUY' ELSE 'SELL' END AS event_type, epoch_us(o_orderdate) AS ts, o_orderpriority AS name, o_totalprice AS price FROM orders")
 
+parsing("parse_homes", "orders", "o_orderkey", "concat('LOAD(id=', o_orderkey, ',plug=', unix_micros(CAST(o_orderdate AS TIMESTAMP)), ',value=', o_totalprice, ',property=1,household=', o_custkey, ')')", "homes", ["id", "event_type", "ts", "value", "householdId"],
+        "SELECT o_orderkey AS id, 'LOAD' AS event_type, epoch_us(o_orderdate) AS ts, o_totalprice AS value, o_custkey AS householdId FROM orders")
+parsing("parse_taxi", "orders", "o_orderkey", "concat('TRIP(id=', o_orderkey, ',a=1,b=2,c=3,ts=', unix_micros(CAST(o_orderdate AS TIMESTAMP)), ',d=4,e=5,from=', o_orderpriority, ' / x,to=', o_orderstatus, repeat(',z=0', 6), ',total=', o_totalprice, ')')", "taxi", ["id", "event_type", "ts", "pickupZone", "dropoffZone", "totalAmount"],
+        "SELECT o_orderkey AS id, 'TRIP' AS event_type, epoch_us(o_orderdate) AS ts, regexp_replace(o_orderpriority, '[\\s/]', '', 'g') || 'x' AS pickupZone, o_orderstatus AS dropoffZone, o_totalprice AS totalAmount FROM orders")
+
 
 def halves(spark: SparkSession, sf_dir: str) -> DataFrame:
     train, test = readers.split(C.user_events(spark, sf_dir), 0.3, 0.2)
@@ -83,13 +89,22 @@ matching("pred_equal_number", C.user_events, ";(EQ(k,50.0),GT(k,50.0)){partition
 def with_resets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An error ends all that its user has open and is no event."""
     events = C.user_events(spark, sf_dir).withColumn("is_reset", F.col("event_type") == "error")
-    return R.matches(events, compile_one(f";({C.is_('view')},{C.is_('purchase')}){{partitionBy:user}}")).select("part", F.array_join("events", ",").alias("events"))
+    return R.matches(events, compile_one(f"@(;({C.is_('view')},{C.is_('purchase')})){{partitionBy:user}}")).select("part", F.array_join("events", ",").alias("events"))
 
 
 QUERIES["reset_events"] = with_resets
 SQL["reset_events"] = f"""WITH {C.stream_sql(C.user_events)}, e AS (SELECT *, sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) OVER (PARTITION BY part ORDER BY n) AS epoch FROM s),
-p AS (SELECT *, lag(event_type) OVER w AS t1, lag(id) OVER w AS i1 FROM e WHERE event_type <> 'error' WINDOW w AS (PARTITION BY part, epoch ORDER BY n))
-SELECT part, i1 || ',' || id AS events FROM p WHERE t1 = 'view' AND event_type = 'purchase'"""
+p AS (SELECT *, first(CASE WHEN event_type = 'purchase' THEN id END IGNORE NULLS) OVER (PARTITION BY part, epoch ORDER BY n ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS q FROM e)
+SELECT part, id || ',' || q AS events FROM p WHERE event_type = 'view' AND q IS NOT NULL"""
+
+
+# --- predicates of users' own --------------------------------------------------------------------------------------
+@predicate("IsMultipleOf", 2)
+def is_multiple_of(e, attr: str, n: float):
+    return F.pmod(e.num(attr), F.lit(n)) == 0
+
+
+matching("pred_registered", C.user_events, ";(IsMultipleOf(k,10.0),-IsMultipleOf(k,2.0)){partitionBy:user}", C.joined_sql(["{e}.k % 10 = 0", "{e}.k % 2 <> 0"], C.NEXT_TO))
 
 
 # --- automata ------------------------------------------------------------------------------------------------------
@@ -107,6 +122,63 @@ QUERIES["detect_without_satisfiability"] = C.detected(PLAIN, C.user_events)
 SQL["detect_without_satisfiability"] = C.SQL["detect_view_purchase"]
 
 
+
+
+def by_user(formula) -> compiled.CompiledPattern:
+    return compile_one(ast.Pattern(formula, 0, "user"))
+
+
+# the same language from a table, a saved automaton, builders and an XML tree
+TYPES = ["view", "purchase"]
+FROM_TABLE = compiled.from_table(TYPES, [[1, 0, 0], [1, 2, 0], [1, 0, 0]], 0, [2], partition_by="user")
+for name_, c_ in {"detect_from_table": FROM_TABLE, "detect_saved_table": compiled.from_json(FROM_TABLE.to_json()), "detect_saved_pattern": compiled.from_json(C.PAIR.to_json()), "detect_built": by_user(compiled.concat(*TYPES)),
+                  "detect_xml": by_user(compiled.from_xml("<concat><symbol value='view'/><symbol value='purchase'/></concat>"))}.items():
+    QUERIES[name_] = C.detected(c_, C.user_events)
+    SQL[name_] = C.SQL["detect_view_purchase"]
+BRANCHES = by_user(compiled.concat("signup", compiled.union("click", "view"), "purchase"))
+QUERIES["detect_union"] = C.detected(BRANCHES, C.user_events)
+SQL["detect_union"] = f"""WITH {C.stream_sql(C.user_events)}, p AS (SELECT *, lag(event_type) OVER w AS t1, lag(event_type, 2) OVER w AS t2 FROM s WINDOW w AS (PARTITION BY part ORDER BY n))
+SELECT 0::INTEGER AS pattern_id, part, ts AS match_ts, id AS end_id, n AS last_counter FROM p WHERE t2 = 'signup' AND t1 IN ('click', 'view') AND event_type = 'purchase'"""
+CYCLE = by_user(compiled.concat("signup", compiled.star("view"), "purchase"))
+QUERIES["detect_star"] = C.detected(CYCLE, C.user_events)
+SQL["detect_star"] = f"""WITH {C.stream_sql(C.user_events)}, p AS (SELECT *, last(CASE WHEN event_type <> 'view' THEN event_type END IGNORE NULLS) OVER (PARTITION BY part ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS t FROM s)
+SELECT 0::INTEGER AS pattern_id, part, ts AS match_ts, id AS end_id, n AS last_counter FROM p WHERE t = 'signup' AND event_type = 'purchase'"""
+
+
+def compared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Matches of skip-till-next and of contiguous pairs that the other lacks."""
+    events = C.user_events(spark, sf_dir)
+    text = f";({C.is_('view')},{C.is_('purchase')})"
+    found = R.compare(R.matches(events, compile_one(f"@({text}){{partitionBy:user}}")), R.matches(events, compile_one(f"{text}{{partitionBy:user}}")))
+    return found.select("part", "end_id", F.array_join("events", ",").alias("events"), "side")
+
+
+QUERIES["compare_matches"] = compared
+SQL["compare_matches"] = f"""WITH {C.stream_sql(C.user_events)}, a AS ({C.NEXT_SQL}), b AS ({C.joined_sql([C.kind("view"), C.kind("purchase")], C.NEXT_TO)}),
+x AS (SELECT part, ids[2] AS end_id, array_to_string(ids, ',') AS events FROM a), y AS (SELECT part, ids[2] AS end_id, array_to_string(ids, ',') AS events FROM b)
+SELECT *, 'left' AS side FROM (SELECT * FROM x EXCEPT ALL SELECT * FROM y) UNION ALL SELECT *, 'right' FROM (SELECT * FROM y EXCEPT ALL SELECT * FROM x)"""
+
+
+def plans_agree(how: str):
+    """The same matches by another plan."""
+    c = compile_one(f"@(;({C.is_('view')},{C.is_('purchase')})){{partitionBy:user}}{{window:20}}")
+    return lambda spark, sf_dir: C.shown(R.matches(C.user_events(spark, sf_dir), c, how))
+
+
+for how_ in ("next_chain", "run_fold"):
+    QUERIES[f"plan_{how_}"] = plans_agree(how_)
+    SQL[f"plan_{how_}"] = C.chain_sql(C.user_events, C.NEXT_SQL + " AND q.n - n < 20")
+
+
+def counted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fc.recognition_stats(R.label(C.user_events(spark, sf_dir), C.PAIR), 2.0)
+    return spark.createDataFrame([(found["events"], found["matches"], found["throughput"])], "events long, matches long, throughput double")
+
+
+QUERIES["recognition_stats"] = counted
+SQL["recognition_stats"] = f"WITH {C.labelled_sql()} SELECT count(*) AS events, count(*) FILTER (state = {C.pair_states()[2]}) AS matches, count(*) / 2 AS throughput FROM l"
+
+
 # --- waiting times and forecasts -----------------------------------------------------------------------------------
 HORIZON = 100
 
@@ -241,3 +313,28 @@ g AS (SELECT part, id, max(missed) AS missed FROM ({every}) GROUP BY part, id HA
 
 QUERIES["next_scores"] = C.next_foretold
 SQL["next_scores"] = next_sql([("view", "purchase"), ("click", "view")])
+
+
+# --- emission by distance, random and given chains -----------------------------------------------------------------
+def gated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Forecasts from states that have half of the way left."""
+    events = C.user_events(spark, sf_dir)
+    found = fc.forecast(events, C.PAIR, markov.learn_markov(events, C.PAIR), "classify-nextk", 0.3, HORIZON, 10, gate=fc.distance_gate(C.PAIR, 0.4, 0.6))
+    return rounded(found)
+
+
+QUERIES["forecast_gated"] = gated
+SQL["forecast_gated"] = f"{emitted_sql('classify-nextk', 0.3, 10)} SELECT {SHOWN} FROM e WHERE state = {C.pair_states()[1]}"
+
+
+def given_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Waiting times where all symbols are equally likely."""
+    n = len(C.PAIR.alphabet.masks)
+    found = waiting.full_order(markov.chain_of(C.PAIR, [1 / n] * n), 30)
+    return spark.createDataFrame([(int(s), k, round(float(p), 9)) for s, d in found.items() for k, p in enumerate(d, 1)], "state int, events int, prob double")
+
+
+QUERIES["wt_given_probabilities"] = given_times
+_n, (_s, _v, _) = float(len(C.PAIR.alphabet.masks)), C.pair_states()
+SQL["wt_given_probabilities"] = f"""WITH RECURSIVE w AS (SELECT 1 AS k, 0::DOUBLE AS a, 1 / {_n}::DOUBLE AS b UNION ALL SELECT k + 1, ({_n} - 1) / {_n}::DOUBLE * a + b / {_n}::DOUBLE, ({_n} - 2) / {_n}::DOUBLE * a + b / {_n}::DOUBLE FROM w WHERE k < 30)
+SELECT {_s}::INTEGER AS state, k::INTEGER AS events, round(a, 9) AS prob FROM w UNION ALL SELECT {_v}::INTEGER, k::INTEGER, round(b, 9) FROM w"""
