@@ -4,13 +4,15 @@ Words are lower-cased runs of letters and digits (dots and hyphens inside stay);
 of c / 2 to c shingles, c a power of two, are looked for in windows of 2 c shingles that start every c, so that any
 stretch of c shingles lies whole in some window. A template whose share ``least`` is in a window then has a Jaccard
 similarity of a fifth or more with it, and each of the ``bands`` one-row bands collides with that probability: with 32
-bands the chance to miss it is below 0.1 %. Candidates are confirmed by the exact number of shared shingles.
+bands the chance to miss it is about 0.1 % for templates of just over c / 2 shingles, and up to 1.4 % for a template of
+a single shingle in a window of eight. Candidates are confirmed by the exact number of shared shingles.
 
 A band can collide only if the window holds a shingle that is some template's minimum. Texts, and then windows,
 without one are put aside before bands are computed; this loses no collision.
 
 The templates are broadcast; there may be ``MOST`` at most. Null and empty texts match nothing. Rows that share an id
-are reported as one. An empty table gives no rows. Extra columns are ignored.
+are reported as one. A very long text has as many windows as it needs. An empty table gives no rows. Extra columns are
+ignored, whatever their names.
 """
 
 from __future__ import annotations

@@ -8,7 +8,9 @@ Plan size: for each length every run of equal sequences with enough room is spli
 with the number of distinct lengths (4,096), not with the documents.
 
 Null text counts as empty; an empty document still has its end token and so one piece. Repeated rows are packed each
-by itself, in an order fixed by their content. Null ids sort first. An empty table gives no rows.
+by itself, in an order fixed by their content; ties among equal pieces may take either slot. A very long text is cut
+into as many pieces as it needs. Null ids sort first. An empty table gives no rows. Extra columns are ignored, whatever
+their names.
 """
 
 from __future__ import annotations

@@ -8,7 +8,9 @@ has two levels, blocks within runs of ``span`` blocks and then the runs, so that
 
 ``write`` makes such files of a table's texts, as rows of blocks, with a manifest of ids in the order written;
 ``blocks_of`` cuts real files. Null and empty texts have no tokens and count 0. Repeated rows each count. What follows
-a file's last end id is reported with ``ended`` false. An empty table or file gives no rows.
+a file's last end id is reported with ``ended`` false. A very long text spans as many blocks as it needs. Ids that the
+width can't hold, or that equal the end id, are an error. Ties don't arise. An empty table or file gives no rows. Extra
+columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,6 +30,8 @@ WIDTH = "<u2"
 
 def write(docs: DataFrame, path: str, block: int = BLOCK, end: int = END, width: str = WIDTH) -> DataFrame:
     """A flat file for each partition: file, block, data (bytes), ended (ids of the rows whose end lies in the block)."""
+    if end > np.iinfo(width).max:
+        raise ValueError(f"the end id {end} doesn't fit {width}")
 
     def rows(batches):
         encode, file = tokenizer(path).encode, TaskContext.get().partitionId()
@@ -39,7 +43,10 @@ def write(docs: DataFrame, path: str, block: int = BLOCK, end: int = END, width:
 
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = np.append(encode(text.as_py() or ""), np.uint32(end)).astype(width)
+                ids = np.append(encode(text.as_py() or ""), np.uint32(end))
+                if len(ids) > 1 and (ids[:-1].max() > np.iinfo(width).max or (ids[:-1] == end).any()):
+                    raise ValueError(f"an id of document {doc_id} doesn't fit {width} or is the end id {end}")
+                ids = ids.astype(width)
                 held.append(ids)
                 size += len(ids)
                 while size > block or (size == block and held):

@@ -4,14 +4,15 @@ Trust is a personalised PageRank from the hosts of allowed pages along host edge
 blocked pages along reversed edges. Edges are the distinct host pairs of absolute links in the pages, and each host's
 ties with the domain above it (both ways, down to two labels), since one owner holds both. A host whose distrust is
 over ``ratio`` times its trust, and not below ``least``, is blocked; every other host is allowed, one that neither
-reaches among them.
+reaches among them. Equal trust and distrust tie for allow.
 
 Mass is counted in whole units of 1e-15, so scores do not depend on the order of additions: reruns agree exactly.
 An edge table row is a distinct pair, counts are pre-aggregated, and ranks join edges by source, where AQE can split a
 host with very many links. Ranks are written every few rounds, which cuts the lineage.
 
 Null urls and urls without ``://`` have empty host and path, fit no rule and are allowed. Repeated rows each get a
-verdict. An empty table gives no rows.
+verdict. A very long page is searched for links whole, in one row. An empty table gives no rows. Extra columns are
+ignored, whatever their names.
 """
 
 from __future__ import annotations

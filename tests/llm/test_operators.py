@@ -554,3 +554,18 @@ def test_quality_and_token_counts_of_a_long_text_and_of_no_rows(spark):
     assert quality.judge(spark, docs(spark, rows)).first()["n_words"] == 60_000
     assert token_count.by_document(token_count.write(docs(spark, rows), default_path())).first()["n_tokens"] > 60_000
     assert token_count.by_document(token_count.write(docs(spark, []), default_path())).count() == 0
+
+
+def test_ids_that_a_flat_file_cannot_hold_are_an_error(spark):
+    rows = docs(spark, [(1, "some words of a text", "en", "a")])
+    with pytest.raises(Exception, match="doesn't fit"):
+        token_count.write(rows, default_path(), width="<u1", end=255).collect()
+    with pytest.raises(ValueError):
+        token_count.write(rows, default_path(), end=1 << 16)
+
+
+def test_links_of_a_long_page(spark):
+    page = "x" * 500_000 + '<a href="http://spam.net/">'
+    pages = spark.createDataFrame([(1, "http://a.b/", page, "clash"), (2, "http://spam.net/", None, "clash"), (3, "http://x.com/de/", '<a href="http://spam.net/">', "clash")], "page_id long, url string, html string, host string")
+    assert {r["page_id"]: r["verdict"] for r in url_filter.judge(spark, pages).collect()}[3] == "block"
+    assert url_filter.host_edges(pages.select(url_filter.host_and_path()[0].alias("host"), "html"), pages.select(url_filter.host_and_path()[0].alias("host"))).where("src = 'a.b' AND dst = 'spam.net'").count() == 1
