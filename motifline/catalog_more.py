@@ -338,3 +338,26 @@ QUERIES["wt_given_probabilities"] = given_times
 _n, (_s, _v, _) = float(len(C.PAIR.alphabet.masks)), C.pair_states()
 SQL["wt_given_probabilities"] = f"""WITH RECURSIVE w AS (SELECT 1 AS k, 0::DOUBLE AS a, 1 / {_n}::DOUBLE AS b UNION ALL SELECT k + 1, ({_n} - 1) / {_n}::DOUBLE * a + b / {_n}::DOUBLE, ({_n} - 2) / {_n}::DOUBLE * a + b / {_n}::DOUBLE FROM w WHERE k < 30)
 SELECT {_s}::INTEGER AS state, k::INTEGER AS events, round(a, 9) AS prob FROM w UNION ALL SELECT {_v}::INTEGER, k::INTEGER, round(b, 9) FROM w"""
+
+
+# --- hidden Markov model -------------------------------------------------------------------------------------------
+def hidden_sql() -> str:
+    """Waiting times after one symbol; every count starts at a millionth."""
+    at = dict(zip("svd", C.pair_states()))
+    every, n = ", ".join(f"({k})" for k in at.values()), len(C.PAIR.alphabet.masks)
+    cells = ", ".join(f"max(p) FILTER (state = {at[x]} AND next = {at[y]}) AS {x}{y}" for x in at for y in at)
+    into = {y: " + ".join(f"b{x} * {x}{y}" for x in at) for y in at}
+    return f"""WITH RECURSIVE {C.labelled_sql()}, y AS (SELECT part, n, state, {C.symbol_sql()} AS symbol, lead(state) OVER (PARTITION BY part ORDER BY n) AS next FROM l),
+st AS (SELECT * FROM (VALUES {every}) t(state)), sy AS (SELECT range AS symbol FROM range({n})),
+ec AS (SELECT state, symbol, count(*) AS n FROM y GROUP BY ALL), mc AS (SELECT state, next, count(*) AS n FROM y GROUP BY ALL), sc AS (SELECT state, count(*) AS n FROM y WHERE n = 1 GROUP BY ALL),
+emits AS (SELECT state, symbol, (1e-6::DOUBLE + coalesce(n, 0)) / sum(1e-6::DOUBLE + coalesce(n, 0)) OVER (PARTITION BY state) AS p FROM (SELECT * FROM st, sy) LEFT JOIN ec USING (state, symbol)),
+moves AS (SELECT state, next, (1e-6::DOUBLE + coalesce(n, 0)) / sum(1e-6::DOUBLE + coalesce(n, 0)) OVER (PARTITION BY state) AS p FROM (SELECT st.state, x.state AS next FROM st, st x) LEFT JOIN mc USING (state, next)),
+starts AS (SELECT state, (1e-6::DOUBLE + coalesce(n, 0)) / sum(1e-6::DOUBLE + coalesce(n, 0)) OVER () AS p FROM st LEFT JOIN sc USING (state)),
+first_ AS (SELECT symbol, state, starts.p * emits.p / sum(starts.p * emits.p) OVER (PARTITION BY symbol) AS p FROM starts JOIN emits USING (state)),
+b AS (SELECT symbol, {", ".join(f"max(p) FILTER (state = {at[x]}) AS b{x}" for x in at)} FROM first_ GROUP BY symbol), m AS (SELECT {cells} FROM moves),
+w AS (SELECT symbol, 0 AS k, bs, bv, bd, 0::DOUBLE AS prob FROM b UNION ALL SELECT symbol, k + 1, {into["s"]}, {into["v"]}, 0::DOUBLE, {into["d"]} FROM w, m WHERE k < 10)
+SELECT symbol::INTEGER AS symbol, k::INTEGER AS events, round(prob, 9) AS prob FROM w WHERE k > 0"""
+
+
+QUERIES["hidden_markov_waiting"] = lambda spark, sf_dir: rounded(C.hidden_belief(spark, sf_dir), 9)
+SQL["hidden_markov_waiting"] = hidden_sql()
