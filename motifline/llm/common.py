@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import hashlib
 import tempfile
 import uuid
@@ -75,10 +76,21 @@ def spread_join(rows: DataFrame, table: DataFrame, on: list[str], copies: str, s
     return rows.join(hot, on).select(cold.columns).unionByName(cold)
 
 
-def slices(batch: pa.RecordBatch, column: str = "text", most: int = 2_000_000):
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def release() -> None:
+    """Give freed memory back to the system. Python workers outlive their tasks, and would hold the most they ever used."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM:
+        _TRIM(0)
+
+
+def slices(batch: pa.RecordBatch, column: str = "text", most: int = 1_000_000):
     """Cut a batch into runs of rows whose texts hold about ``most`` bytes; a longer text is a run of its own.
 
     Yields (rows, data, starts): the rows, their UTF-8 bytes back to back (null: empty), and len(rows) + 1 offsets.
+    Memory that the batch's slices took is given back after the last one.
     """
     if not batch.num_rows:
         return
@@ -94,6 +106,8 @@ def slices(batch: pa.RecordBatch, column: str = "text", most: int = 2_000_000):
         to = min(to, n)
         yield batch.slice(at, to - at), data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at]
         at = to
+    del text, offsets, data
+    release()
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

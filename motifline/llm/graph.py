@@ -6,7 +6,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from motifline.llm.common import Scratch
+from motifline.llm.common import Scratch, release
 
 
 def _forest(rows):
@@ -49,6 +49,8 @@ def components(scratch: Scratch, edges: DataFrame, name: str, rounds: int = 60)
         up, root = _forest(_pairs(batches))
         nodes = list(up)
         yield pa.RecordBatch.from_arrays([pa.array(nodes, arrow), pa.array([root(x) for x in nodes], arrow)], ["x", "y"])
+        del up, root, nodes
+        release()
 
     def meet(batches):
         own = []
@@ -62,6 +64,9 @@ def components(scratch: Scratch, edges: DataFrame, name: str, rounds: int = 60)
         dealt = set(own)
         nodes = [x for x in up if x in dealt or root(x) != x]
         yield pa.RecordBatch.from_arrays([pa.array(nodes, arrow), pa.array([root(x) for x in nodes], arrow), pa.array([x in dealt for x in nodes], pa.bool_())], ["x", "y", "own"])
+        del up, root, nodes, dealt
+        own.clear()
+        release()
 
     rows = scratch.put(edges.select("a", "b").mapInArrow(stars, f"x {kind}, y {kind}"), f"{name}-0")
     for k in range(1, rounds + 1):

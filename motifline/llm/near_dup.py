@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from motifline.llm.common import SPACE, Scratch, fresh, mix64, random_words, slices, spread_join, word_hashes, words
+from motifline.llm.common import SPACE, Scratch, fresh, mix64, random_words, release, slices, spread_join, word_hashes, words
 from motifline.llm.graph import components
 
 SHINGLE, TOKENS = 5, 128
@@ -204,6 +204,7 @@ def roots(sets: DataFrame, trees: int, seed: int) -> DataFrame:
             row, position = _branches(path)
             which = row % n
             yield _node_batch(_child(path[row], position, tokens[which, position]), batch.column(0), sketch(tokens), batch.column(2), which)
+        release()
 
     return sets.select("name", "tokens", "class", "salt").mapInArrow(rows, NODES)
 
@@ -218,6 +219,7 @@ def deeper(nodes: DataFrame, sets: DataFrame) -> DataFrame:
             path, tokens = batch.column(0).to_numpy().view(np.uint64), _tokens(batch.column(2))
             which, position = _branches(path)
             yield _node_batch(_child(path[which], position, tokens[which, position]), batch.column(1), sketch(tokens), batch.column(3), which)
+        release()
 
     return _few(nodes.select("path", "name", "class")).join(sets.select("name", "tokens"), "name").select("path", "name", "tokens", "class").mapInArrow(rows, NODES)
 
@@ -255,6 +257,8 @@ def _groups(batches, key: int):
             held.append(batch)
     if held:
         yield pa.Table.from_batches(held)
+    held.clear()
+    release()
 
 
 def compare(rows: DataFrame, least: int) -> DataFrame:
