@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from motifline.llm.common import Scratch
+from motifline.llm.common import Scratch, release
 from motifline.llm.tokenizing import default_path, tokenizer
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -46,6 +46,7 @@ def pieces(docs: DataFrame, path: str, most: int = 4096, end: int = 1, keep_ids:
             names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"]
             n = 6 if keep_ids else 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out[:n], kinds)], names[:n])
+        release()
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(cut, PIECES + (", ids array<int>" if keep_ids else ""))
 
