@@ -25,7 +25,7 @@ class WordTokenizer:
     stays in the cache. ``most`` bounds the runs, and the pieces of runs, that are kept; a cache starts anew beyond it.
     """
 
-    def __init__(self, path: str, most: int = 300_000):
+    def __init__(self, path: str, most: int = 500_000):
         from tokenizers import Tokenizer
 
         self.whole, self.most = Tokenizer.from_file(path), most
