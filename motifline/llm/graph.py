@@ -33,14 +33,14 @@ def _pairs(batches):
         yield from zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
 
 
-def components(scratch: Scratch, edges: DataFrame, name: str, rounds: int = 60) -> DataFrame:
+def components(scratch: Scratch, edges: DataFrame, name: str, rounds: int = 60, most: int = 100_000) -> DataFrame:
     """edges (a, b) to (node, root): every node of an edge, and the least node of its component.
 
     First each partition of the edges, whatever it holds, is replaced by stars on its own components' least nodes.
-    Then in rounds: rows (node, root) are dealt by node, so all roots that a node was given meet and are joined
-    locally; and roots are replaced by their own roots. A node has one row from then on, so a component, however
-    large, is spread over all tasks; the join by root has one row for each root on one side and is split where
-    skewed. Rounds are written to the shared folder, which cuts the lineage.
+    If up to ``most`` rows remain, one task joins them. More are joined in rounds: rows (node, root) are dealt by node,
+    so all roots that a node was given meet and are joined locally; and roots are replaced by their own roots. A node has
+    one row from then on, so a component, however large, is spread over all tasks; the join by root has one row for each
+    root on one side and is split where skewed. Rounds are written to the shared folder, which cuts the lineage.
     """
     kind = edges.schema["a"].dataType.simpleString()
     arrow = {"binary": pa.binary(), "bigint": pa.int64(), "string": pa.string()}[kind]
@@ -69,6 +69,9 @@ def components(scratch: Scratch, edges: DataFrame, name: str, rounds: int = 60)
         release()
 
     rows = scratch.put(edges.select("a", "b").mapInArrow(stars, f"x {kind}, y {kind}"), f"{name}-0")
+    if rows.count() <= most:
+        one = scratch.put(rows.coalesce(1).mapInArrow(stars, f"x {kind}, y {kind}"), f"{name}-1")
+        return one.select(F.col("x").alias("node"), F.col("y").alias("root"))
     for k in range(1, rounds + 1):
         met = scratch.put(rows.select("x", "y").repartition("x").mapInArrow(meet, f"x {kind}, y {kind}, own boolean"), f"{name}-{k}-met")
         own, links = met.where("own").select("x", "y"), met.where("NOT own").select("x", "y")

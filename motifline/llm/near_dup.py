@@ -374,6 +374,7 @@ def candidates(scratch: Scratch, sets: DataFrame, trees: int, limit: int, least:
         least_by = lambda k: F.min(F.struct(F.xxhash64("name", "path", F.lit(k)).alias("h"), "name", "sketch"))
         lead = large.groupBy("path").agg(F.count("*").alias("_n"), *[least_by(k).alias(f"_p{k}") for k in range(pivots)])
         lead = lead.select("path", "_n", F.array(*[F.struct(F.col(f"_p{k}.name").alias("name"), F.col(f"_p{k}.sketch").alias("sketch")) for k in range(pivots)]).alias("pivots"))
+        lead = scratch.put(lead, f"lead{level}")  # few rows, which few workers read
         lead = scratch.put(lead.mapInArrow(_settle(least), "path long, _n long, pivots array<struct<name:binary,sketch:binary,part:int>>, main int, a array<binary>, b array<binary>"), f"pivots{level}")
         found.append(lead.select(F.explode(F.arrays_zip("a", "b")).alias("e")).select("e.a", "e.b"))
         rows = spread_join(large, lead.select("path", "_n", "pivots", F.col("main").alias("_main")), ["path"], "_n")
@@ -383,9 +384,8 @@ def candidates(scratch: Scratch, sets: DataFrame, trees: int, limit: int, least:
         return rows.drop("near")
 
     nodes = roots(sets.withColumns({"class": F.lit(None).cast("binary"), "salt": F.lit(0).cast("long")}), trees, seed)
-    for k, rows in enumerate(descend(scratch, nodes, sets, limit, judge, "tree")):
-        found.append(scratch.put(compare(rows, least), f"pairs{k}"))
-    return _all(found)
+    buckets = descend(scratch, nodes, sets, limit, judge, "tree")
+    return _all([*found, scratch.put(compare(_all(buckets), least), "pairs")])  # of all levels at once: paths tell them apart
 
 
 def _all(parts: list[DataFrame]) -> DataFrame:

@@ -158,3 +158,18 @@ def test_components_of_chains_and_stars(spark):
         up[max(a, b)] = min(a, b)
     assert {(r["node"], r["root"]) for r in found.collect()} == {(x, root(x)) for x in up}
     assert found.count() == len(up)
+
+
+def test_few_links_are_joined_at_once_and_many_in_rounds(spark):
+    edges = [(k, k + 1) for k in range(60)] + [(100, 100 + k) for k in range(1, 40)]
+    df = spark.createDataFrame(edges, "a long, b long").repartition(7)
+    once, rounds = Scratch(spark, "test"), Scratch(spark, "test")
+    found = [{tuple(r) for r in components(scratch, df, "t", most=most).collect()} for scratch, most in ((once, 1000), (rounds, 0))]
+    assert found[0] == found[1] == {(k, 0) for k in range(61)} | {(k, 100) for k in range(100, 140)}
+    assert len(once.names) == 2 < len(rounds.names)  # tables, each of which takes a job
+
+
+def test_levels_are_compared_in_one_job(spark):
+    scratch = near_dup.linked(spark, spark.createDataFrame(fixture(), SCHEMA), limit=4, pivots=2)[0]
+    assert "tree-large1" in scratch.names  # some nodes are large, so there are several tables of buckets
+    assert len([n for n in scratch.names if n.startswith("pairs")]) == 1
