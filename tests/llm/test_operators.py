@@ -12,7 +12,7 @@ import pytest
 
 from motifline.llm import gif, license_scan, media, mixing, packing, quality, secret_scan, suffix_dedup, token_count, url_filter
 from motifline.llm.common import Rolling, Scratch, words
-from motifline.llm.suffix_sort import deep_shallow
+from motifline.llm.suffix_sort import Symbols, deep_shallow
 from motifline.llm.tokenizing import WordTokenizer, default_path
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size string"
@@ -52,6 +52,22 @@ def test_suffix_sort(limit):
         assert same.tolist() == [False] + [a == b for a, b in zip(keys, keys[1:])]
 
 
+def test_stretches_of_suffixes_are_compared_once():
+    """Two copies of a passage: reading symbol by symbol for each suffix takes bytes that grow with its length times its suffixes."""
+    rng = np.random.default_rng(8)
+    passage, limit = rng.integers(0, 256, 2000).astype(np.uint8), 400
+    data = np.concatenate([passage, rng.integers(0, 256, 50).astype(np.uint8), passage])
+    n = len(data) - limit + 1
+    read = []
+    at, Symbols.at = Symbols.at, lambda self, position, k: read.append(len(position)) or at(self, position, k)
+    try:
+        order, same = deep_shallow(data, np.arange(n), np.zeros(n, np.int64), limit)
+    finally:
+        Symbols.at = at
+    assert int(same.sum()) == len(passage) - limit + 1
+    assert sum(read) < 10 * n  # four symbols each, and few for the rest; 96 for each that repeats before
+
+
 def brute_dedup(rows, length):
     texts = [(d, (t or "").encode()) for d, t, *_ in rows]
     seen = Counter(b[i : i + length] for _, b in texts for i in range(len(b) - length + 1))
@@ -537,6 +553,18 @@ def test_extra_columns_with_clashing_names(spark, tmp_path):
     assert suffix_dedup.dedup(spark, table).count() == 12 and packing.pack(spark, table).count() == 12
 
 
+def test_suffix_dedup_splits_large_groups_in_few_levels(spark, monkeypatch):
+    rng = random.Random(15)
+    common = prose(rng, 200, 10**6)[:900]
+    texts = [common[:k] + "#" + common[k:] for k in range(100, 880, 13)] + [common] * 3
+    rows = [(k, prose(rng, 20, 10**6) + chr(35 + k % 60) + t + prose(rng, 20, 10**6), "en", "a") for k, t in enumerate(texts)]
+    put, names = suffix_dedup.Scratch.put, []
+    monkeypatch.setattr(suffix_dedup.Scratch, "put", lambda self, df, name, **options: names.append(name) or put(self, df, name, **options))
+    got = suffix_dedup.dedup(spark, docs(spark, rows), large=2)
+    assert sorted([(r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got.collect()], key=str) == brute_dedup(rows, 400)
+    assert "parts1" in names and "parts4" not in names  # halving took up to nine levels
+
+
 def test_suffix_dedup_at_full_length_with_a_long_text(spark):
     rng = random.Random(14)
     long = prose(rng, 60_000, 50_000)
