@@ -147,7 +147,7 @@ SELECT 0::INTEGER AS pattern_id, part, ts AS match_ts, id AS end_id, n AS last_c
 
 def compared(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Matches of skip-till-next and of contiguous pairs that the other lacks."""
-    events = C.user_events(spark, sf_dir)
+    events = R.dealt(C.user_events(spark, sf_dir), "user")
     text = f";({C.is_('view')},{C.is_('purchase')})"
     found = R.compare(R.matches(events, compile_one(f"@({text}){{partitionBy:user}}")), R.matches(events, compile_one(f"{text}{{partitionBy:user}}")))
     return found.select("part", "end_id", F.array_join("events", ",").alias("events"), "side")

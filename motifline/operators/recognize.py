@@ -15,6 +15,7 @@ map from entry to exit states, maps are chained, and a second pass labels all ch
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import product
 
 import numpy as np
@@ -30,12 +31,23 @@ from motifline.plans.compiled import CompiledPattern
 
 MATCH = "pattern_id int, part string, match_ts long, end_id long, events array<long>, first_counter long, last_counter long"
 WHOLE = "$"  # the partition's name where a pattern has no partition attribute
+TASK_ROWS = 200_000  # events that one task sorts, about
 
 
 def _part(pattern: ast.Pattern) -> Column:
     return F.col(pattern.partition_by).cast("string") if pattern.partition_by else F.lit(WHOLE)
 
 
+def dealt(df: DataFrame, by: str, rows: int = TASK_ROWS) -> DataFrame:
+    """The events, with ``by`` as a string, dealt by it so that a task gets about ``rows`` of them.
+
+    Patterns that partition by it need no shuffle of their own then, and what their sorts hold depends neither on the
+    input's size nor on the session's number of shuffle partitions.
+    """
+    n = max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // rows))
+    return df.withColumn(by, F.col(by).cast("string")).repartition(n, by)
+
+
 def _clean(df: DataFrame, pattern: ast.Pattern) -> DataFrame:
     """With _part and _epoch; reset events end an epoch and go."""
     out = df.withColumn("_part", _part(pattern))
@@ -152,13 +164,16 @@ def next_chain(df: DataFrame, c: CompiledPattern) -> DataFrame:
     p = c.pattern
     parts = _plain(p.formula.part)
     rows = _counted(_clean(df, p))
+    names = ["_first", *[f"_takes{k}" for k in range(1, len(parts))]]
+    rows = rows.select("id", "ts", "_part", "_epoch", "_cnt", *[P.sentence_column(e.sentence, P.Columns()).alias(x) for x, e in zip(names, parts)])
+    rows = rows.where(reduce(Column.__or__, map(F.col, names)))  # what no element takes need not be sorted again
     later = Window.partitionBy("_part", "_epoch").orderBy(F.desc("ts"), F.desc("id")).rowsBetween(Window.unboundedPreceding, -1)
     here = [F.col("id"), F.col("ts"), F.col("_cnt").alias("cnt")]
     for k in range(len(parts) - 1, 0, -1):
         rest = [F.col(f"_next{k + 1}").alias("next")] if k + 1 < len(parts) else []
-        rows = rows.withColumn(f"_at{k}", F.when(P.sentence_column(parts[k].sentence, P.Columns()), F.struct(*here, *rest)))
+        rows = rows.withColumn(f"_at{k}", F.when(F.col(f"_takes{k}"), F.struct(*here, *rest)))
         rows = rows.withColumn(f"_next{k}", F.last(f"_at{k}", ignorenulls=True).over(later))
-    rows = rows.where(P.sentence_column(parts[0].sentence, P.Columns()))
+    rows = rows.where("_first")
     chain = [f"_next1{'.next' * k}" for k in range(len(parts) - 1)]
     last = F.col(chain[-1]) if chain else F.struct(*here)
     rows = rows.where(last.isNotNull())
@@ -458,12 +473,18 @@ def run_fold(df: DataFrame, c: CompiledPattern, limit: int = 100_000, kleene_tai
 
 
 def compare(a: DataFrame, b: DataFrame, ends_only: bool = False) -> DataFrame:
-    """Rows of one match table that the other lacks, with ``side`` left or right."""
+    """Rows of one match table that the other lacks, with ``side`` left or right.
+
+    Both tables are read once and counted together, so a task holds one plan of each side.
+    """
     keys = ["pattern_id", "part", "end_id"] if ends_only else ["pattern_id", "part", "end_id", "events"]
-    left, right = a.select(keys), b.select(keys)
+    both = a.select(*keys, F.lit(1).cast("long").alias("_side")).unionByName(b.select(*keys, F.lit(-1).cast("long").alias("_side")))
+    more = F.sum("_side")
     if ends_only:
-        left, right = left.distinct(), right.distinct()
-    return left.exceptAll(right).withColumn("side", F.lit("left")).unionByName(right.exceptAll(left).withColumn("side", F.lit("right")))
+        more = F.max(F.greatest("_side", F.lit(0))) + F.min(F.least("_side", F.lit(0)))
+    found = both.groupBy(*keys).agg(more.alias("_more")).where("_more <> 0")
+    found = found.withColumn("side", F.when(F.col("_more") > 0, "left").otherwise("right"))
+    return found.withColumn("side", F.explode(F.array_repeat("side", F.abs("_more").cast("int")))).drop("_more")
 
 
 def schema() -> T.StructType:

@@ -241,6 +241,29 @@ def test_variable_order_on_streams(stream):
     assert fc.forecast_variable(stream, c, tree, method="classify-nextk", horizon=5, spread=3).count() > 0
 
 
+def test_comparison_counts_copies_in_one_pass(spark, stream):
+    rows = [(0, "p", 1, [1, 2]), (0, "p", 1, [1, 2]), (0, "p", 1, [1, 2]), (0, None, 2, [2]), (0, "q", 3, [4, 3]), (0, "q", 3, [3])]
+    a = spark.createDataFrame(rows, "pattern_id int, part string, end_id long, events array<long>")
+    b = spark.createDataFrame([rows[0], rows[3], (0, "q", 5, [5]), (0, "q", 5, [5])], a.schema)
+    got = [(r["part"], r["end_id"], r["events"], r["side"]) for r in R.compare(a, b).collect()]
+    assert sorted(got) == [("p", 1, [1, 2], "left")] * 2 + [("q", 3, [3], "left"), ("q", 3, [4, 3], "left")] + [("q", 5, [5], "right")] * 2
+    got = [(r["part"], r["end_id"], r["side"]) for r in R.compare(a, b, ends_only=True).collect()]
+    assert sorted(got) == [("q", 3, "left"), ("q", 5, "right")]
+    a, b = (R.matches(stream, compile_one(text)) for text in (f";({T}(A),{T}(B)){{partitionBy:who}}", f"@(;({T}(A),{T}(B))){{partitionBy:who}}"))
+    plan = [x._jdf.queryExecution().optimizedPlan().toString().count("Window [") for x in (a, b, R.compare(a, b))]
+    assert plan[2] <= plan[0] + plan[1]  # each side is planned once
+
+
+def test_events_are_dealt_by_their_count(spark, stream):
+    n = spark.sparkContext.defaultParallelism
+    many = R.dealt(stream, "who", rows=10)
+    assert many.rdd.getNumPartitions() == 12 > n == R.dealt(stream, "who").rdd.getNumPartitions()
+    c = compile_one(f"@(;({T}(A),{T}(B))){{partitionBy:who}}")
+    assert found(R.matches(many, c)) == found(R.matches(stream, c))
+    plan = R.matches(many, c)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "REPARTITION_BY_NUM" in plan
+
+
 def test_orders_are_compared(stream):
     c = compile_one(f";({T}(A),{T}(B))", EXCLUSIVE)
     best, scores = markov.best_order(stream, c, 1, folds=2)
