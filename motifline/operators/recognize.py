@@ -16,7 +16,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import reduce
-from itertools import product
+from itertools import accumulate, product
 
 import numpy as np
 import pyarrow as pa
@@ -61,8 +61,59 @@ def _order() -> Window:
     return Window.partitionBy("_part", "_epoch").orderBy("ts", "id")
 
 
-def _counted(df: DataFrame) -> DataFrame:
-    return df.withColumn("_cnt", F.row_number().over(Window.partitionBy("_part").orderBy("ts", "id")).cast("long"))
+def _bounds(df: DataFrame, rows: int) -> list[tuple[int, int]]:
+    """Places (ts, id) that cut a stream into stretches of about ``rows`` events; one event in ``rows`` / 100 is drawn to
+    find them. Results don't depend on where they lie."""
+    n = df.count()
+    k = -(-n // rows)
+    if k < 2:
+        return []
+    drawn = sorted(tuple(r) for r in df.select("ts", "id").dropna().sample(fraction=min(1.0, 100 * k / n), seed=1).collect())
+    return sorted({drawn[len(drawn) * i // k] for i in range(1, k)}) if drawn else []
+
+
+def _stretched(df: DataFrame, bounds: list[tuple[int, int]]) -> DataFrame:
+    """With _stretch, the number of bounds at or before the event, by halving."""
+    ts, ids = (F.array(*[F.lit(b[k]).cast("long") for b in bounds]) for k in (0, 1))
+    df = df.withColumn("_stretch", F.lit(0))
+    for k in reversed(range(len(bounds).bit_length())):
+        at = F.col("_stretch") + ((1 << k) - 1)
+        ts_, id_ = F.get(ts, at), F.get(ids, at)
+        passed = F.coalesce((F.col("ts") > ts_) | ((F.col("ts") == ts_) & (F.col("id") >= id_)), F.lit(False))
+        df = df.withColumn("_stretch", F.col("_stretch") + F.when(passed, 1 << k).otherwise(0))
+    return df
+
+
+def _counted(df: DataFrame, pattern: ast.Pattern, stretch: int) -> tuple[DataFrame, int]:
+    """With _part, _epoch and _cnt, the event's number in its partition; reset events go. And the number of stretches.
+
+    A stream without partitions of more than ``stretch`` events is numbered in stretches of time, dealt over tasks: places
+    in a stretch plus the events before it.
+    """
+    bounds = [] if pattern.partition_by else _bounds(df, stretch)
+    if not bounds:
+        return _clean(df, pattern).withColumn("_cnt", F.row_number().over(Window.partitionBy("_part").orderBy("ts", "id")).cast("long")), 1
+    reset = F.coalesce("is_reset", F.lit(False)) if "is_reset" in df.columns else F.lit(False)
+    rows = _stretched(df.withColumn("_part", _part(pattern)).withColumn("_reset", reset.cast("long")), bounds)
+    sizes = {r["_stretch"]: r for r in rows.groupBy("_stretch").agg(F.sum(1 - F.col("_reset")).alias("n"), F.sum("_reset").alias("resets")).collect()}
+
+    def before(what: str) -> Column:
+        sums = accumulate((sizes[k][what] if k in sizes else 0 for k in range(len(bounds))), initial=0)
+        return F.get(F.array(*[F.lit(x).cast("long") for x in sums]), F.col("_stretch"))
+
+    w = Window.partitionBy("_stretch").orderBy("ts", "id")
+    rows = rows.repartition(2 * len(sizes), "_stretch")
+    epoch = F.sum("_reset").over(w) + before("resets") if "is_reset" in df.columns else F.lit(0).cast("long")
+    rows = rows.withColumn("_epoch", epoch).where("_reset = 0")
+    return rows.withColumn("_cnt", F.row_number().over(w) + before("n")).drop("_reset"), len(sizes)
+
+
+def _blocks(rows: DataFrame, n: int, stretch: int, longest: int) -> DataFrame:
+    """With _block, ``stretch`` numbers each; the last events of a block come once more, not _own, before the next one's."""
+    size = max(stretch, longest)
+    at, block = (F.col("_cnt") - 1) % size, F.floor((F.col("_cnt") - 1) / size)
+    blocks = F.when(at > size - longest, F.array(block, block + 1)).otherwise(F.array(block))
+    return rows.withColumn("_block", F.explode(blocks)).withColumn("_own", F.col("_block") == block).repartition(2 * n, "_block")
 
 
 def _match(c: CompiledPattern, ts, end, events, first, last) -> list[Column]:
@@ -125,11 +176,13 @@ def end_points(found: DataFrame) -> DataFrame:
 
 
 # --- one window pass ----------------------------------------------------------------------------------------------
-def lag_chain(df: DataFrame, c: CompiledPattern) -> DataFrame:
+def lag_chain(df: DataFrame, c: CompiledPattern, stretch: int = TASK_ROWS) -> DataFrame:
     """Contiguous fixed-length sequences: each element is judged on the row that many places back."""
     p, w = c.pattern, _order()
-    rows, out = _counted(_clean(df, p)), None
     found = list(dict.fromkeys(_branches(p.formula)))
+    rows, n = _counted(df, p, stretch)
+    if n > 1:
+        rows, w = _blocks(rows, n, stretch, max(map(len, found))), Window.partitionBy("_block", "_epoch").orderBy("_cnt")
     plain = list(dict.fromkeys(e.sentence for b in found for e in b if not _refs(e.sentence)))
     for k, s in enumerate(plain):
         rows = rows.withColumn(f"_is{k}", P.sentence_column(s, P.Columns()))
@@ -155,15 +208,15 @@ def lag_chain(df: DataFrame, c: CompiledPattern) -> DataFrame:
         tests.append(F.when(ok & (F.row_number().over(w) >= n), F.lit(n)))
     ids = F.array(*[F.lag("id", k).over(w) for k in range(max(map(len, found)) - 1, -1, -1)])
     rows = rows.withColumn("_ids", ids).withColumn("_lengths", F.array_compact(F.array(*tests))).where(F.size("_lengths") > 0)
-    rows = rows.withColumn("_n", F.explode("_lengths"))
+    rows = (rows.where("_own") if "_own" in rows.columns else rows).withColumn("_n", F.explode("_lengths"))
     return rows.select(*_match(c, F.col("ts"), F.col("id"), F.slice("_ids", -F.col("_n"), F.col("_n")), F.col("_cnt") - F.col("_n") + 1, F.col("_cnt")))
 
 
-def next_chain(df: DataFrame, c: CompiledPattern) -> DataFrame:
+def next_chain(df: DataFrame, c: CompiledPattern, stretch: int = TASK_ROWS) -> DataFrame:
     """Skip-till-next over plain elements: each row knows the next row that each later element takes."""
     p = c.pattern
     parts = _plain(p.formula.part)
-    rows = _counted(_clean(df, p))
+    rows, _ = _counted(df, p, stretch)
     names = ["_first", *[f"_takes{k}" for k in range(1, len(parts))]]
     rows = rows.select("id", "ts", "_part", "_epoch", "_cnt", *[P.sentence_column(e.sentence, P.Columns()).alias(x) for x, e in zip(names, parts)])
     rows = rows.where(reduce(Column.__or__, map(F.col, names)))  # what no element takes need not be sorted again
@@ -184,7 +237,7 @@ def next_chain(df: DataFrame, c: CompiledPattern) -> DataFrame:
 
 
 # --- joins --------------------------------------------------------------------------------------------------------
-def range_join(df: DataFrame, c: CompiledPattern) -> DataFrame:
+def range_join(df: DataFrame, c: CompiledPattern, stretch: int = TASK_ROWS) -> DataFrame:
     """Skip-till-any over single events: each later element joins on partition, order, window and registers.
 
     With a window, rows are bucketed by counter or time; a later element lies in its first's bucket or the next.
@@ -192,7 +245,7 @@ def range_join(df: DataFrame, c: CompiledPattern) -> DataFrame:
     p = c.pattern
     parts = _plain(p.formula.part)
     needed = sorted({n for e in parts for a in ast.atoms(e.sentence) for n in P.find(a).reads(*a.args)} & set(df.columns) - {"id", "ts"})
-    rows = _counted(_clean(df, p)).select("id", "ts", "_part", "_epoch", "_cnt", *needed)
+    rows = _counted(df, p, stretch)[0].select("id", "ts", "_part", "_epoch", "_cnt", *needed)
     scale = "_cnt" if p.window_type == "count" else "ts"
     if p.window:
         rows = rows.withColumn("_bucket", F.floor(F.col(scale) / p.window))

@@ -264,6 +264,32 @@ def test_events_are_dealt_by_their_count(spark, stream):
     assert plan.count("Exchange hashpartitioning") == 1 and "REPARTITION_BY_NUM" in plan
 
 
+@pytest.mark.parametrize("text", [f";({T}(A),{T}(B))", f"+(;({T}(A),{T}(B),{T}(C)),;({T}(B),{T}(A)),{T}(C))", f';({T}(A)["x"],GTAttr(v,"x"),{T}(B)){{window:5}}{{windowType:time}}', f"#(;({T}(A),{T}(B))){{window:3}}", f"@(;({T}(A),{T}(B)))"])
+@pytest.mark.parametrize("resets", [False, True])
+def test_whole_streams_in_stretches(stream, text, resets):
+    s = stream.withColumn("ts", F.floor(F.col("ts") / 9)).select("id", "event_type", "ts", "v")  # ties in time
+    s = s.withColumn("ts", F.when(F.col("id") > 2, F.col("ts")))  # and events without one, which come first
+    if resets:
+        s = s.withColumn("is_reset", F.when(F.col("id") % 7 > 0, F.col("id") % 11 == 0))
+    c, w = compile_one(text), R.Window.partitionBy(F.lit(0)).orderBy("ts", "id")
+    want = found(R.matches(s, c, stretch=1000))
+    assert want
+    for stretch in (5, 40):
+        assert found(R.matches(s, c, stretch=stretch)) == want
+    if not resets:
+        got = {r["id"]: r["_cnt"] for r in R._counted(s, c.pattern, 7)[0].collect()}
+        assert got == {r["id"]: r["n"] for r in s.withColumn("n", F.row_number().over(w)).collect()}
+
+
+def test_no_task_holds_a_whole_stream(spark):
+    n = 2000
+    s = spark.range(n).select("id", F.lit("A").alias("event_type"), F.lit(5).cast("long").alias("ts"))  # all at one time
+    rows, stretches = R._counted(s, compile_one(f";({T}(A),{T}(A))").pattern, 100)
+    sizes = [r["count"] for r in rows.groupBy(F.spark_partition_id()).count().collect()]
+    assert stretches == 20 and sum(sizes) == n and max(sizes) <= n / 3
+    assert R.matches(s, compile_one(f";({T}(A),{T}(A))"), stretch=100).count() == n - 1
+
+
 def test_orders_are_compared(stream):
     c = compile_one(f";({T}(A),{T}(B))", EXCLUSIVE)
     best, scores = markov.best_order(stream, c, 1, folds=2)
